@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Arrow batches handed to Python stay below this many bytes (documents of any length fit in memory).
 ARROW_BYTES = 8 << 20
 
@@ -57,6 +59,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, whatever the length of the documents."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
