@@ -91,8 +91,11 @@ def windows(words: list[str], most: int) -> list[list[str]]:
     return [words[s : s + WINDOW] for s in starts]
 
 
-def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, rounds: int = 2, batch: int = 512, rate: float = 0.05) -> Model:
-    """samples: (windows of a document, label, weight). The weight undoes the sample's share of its label."""
+def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, rounds: int = 3, batch: int = 512, rate: float = 0.05, decay: float = 0.1) -> Model:
+    """samples: (windows of a document, label, weight). The weight undoes the sample's share of its label.
+
+    Every fourth document of either label only calibrates; the others train.
+    """
     if len({label for _, label, _ in samples}) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0, trained=False)
     rng = np.random.default_rng(4)
@@ -110,6 +113,9 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
     gram_flat = np.fromiter((g for gs in gram_lists for g in gs), np.int64, gram_at[-1])
     del gram_lists
     labels = np.array([label for _, label, _ in samples])
+    apart = np.zeros(len(labels), bool)
+    for label in (0, 1):
+        apart[np.flatnonzero(labels == label)[3::4]] = True
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE))
     weights, bias = rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, weights, bias)]
@@ -146,7 +152,7 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
         for x, grad, (m, v), rows in ((vectors, to_vectors, state[0], used), (weights, bags.T @ p, state[1], slice(None)), (bias, p.sum(0), state[2], slice(None))):
             m[rows] = 0.9 * m[rows] + 0.1 * grad
             v[rows] = 0.99 * v[rows] + 0.01 * grad * grad
-            x[rows] -= rate * (m[rows] / (1 - 0.9**ticks)) / (np.sqrt(v[rows] / (1 - 0.99**ticks)) + 1e-9)
+            x[rows] -= rate * decay * x[rows] + rate * (m[rows] / (1 - 0.9**ticks)) / (np.sqrt(v[rows] / (1 - 0.99**ticks)) + 1e-9)
 
     def parts() -> tuple[np.ndarray, float]:
         return vectors @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0])
@@ -156,15 +162,16 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
         word = np.add.reduceat(part[gram_flat], gram_at[:-1]) / np.diff(gram_at)
         return np.add.reduceat(word[flat], starts[:-1]) / sizes + base
 
-    pool = np.flatnonzero(sizes > 0)
+    usable = (sizes > 0) & ~apart[owner]
+    pool = np.flatnonzero(usable)
     for turn in range(rounds):
-        if turn:  # of a toxic document, go on with its two highest windows
+        if turn:  # of a toxic document, go on with its highest windows, at last the very highest
             odds = window_odds()
             order = np.lexsort((-odds, owner))
             rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
             good = np.zeros(len(odds), bool)
-            good[order] = rank < 2
-            pool = np.flatnonzero((sizes > 0) & (good | (labels[owner] == 0)))
+            good[order] = rank < rounds - turn
+            pool = np.flatnonzero(usable & (good | (labels[owner] == 0)))
         for _ in range(epochs):
             toxic = labels[owner[pool]] == 1
             ones, zeros = rng.permutation(pool[toxic]), rng.permutation(pool[~toxic])
@@ -175,7 +182,8 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
     word = np.add.reduceat(part[gram_flat], gram_at[:-1]) / np.diff(gram_at)
     tops = np.full(len(samples), -np.inf)
     np.maximum.at(tops, owner, np.where(sizes > 0, np.add.reduceat(word[np.append(flat, 0)], starts[:-1]) / np.maximum(1, sizes), 0.0) + base)
-    slope, shift = calibrated(tops, labels, np.array([w for _, _, w in samples]))
+    fresh = apart if len(set(labels[apart])) == 2 else ~apart | apart
+    slope, shift = calibrated(tops[fresh], labels[fresh], np.array([w for _, _, w in samples])[fresh])
     return Model(part, base, slope, shift)
 
 
