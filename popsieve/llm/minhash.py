@@ -7,9 +7,10 @@ truncated minimum. Sketches merge by taking greater registers, and equal registe
 1. One pass over the texts writes sketch, set size and set digest of every document.
 2. Documents with equal sets are one class, named by its least id; only classes go on.
 3. Bands of ROWS registers are hashed. In every bucket the least class is the hub, and each other class is
-   paired with it: as many pairs as members, however large the bucket. Buckets whose other members
-   lie in several components after that get a further hub, round by round; what few remain are compared in
-   blocks. So every two classes that share a bucket end up compared, or in one component already.
+   paired with it: as many pairs as members, however large the bucket. Where the other members lie in
+   several components after that, those in different ones are compared in blocks; a large bucket gets
+   further hubs from its outlying components first, round by round. So every two classes that share a
+   bucket end up compared, or in one component already.
 4. Pairs are dropped only if the joint likelihood of their registers, given the set sizes, is far better
    (MARGIN in log) at some lower similarity than at the threshold; the rest are verified on full sets.
 5. Components of the verified links by large-star and small-star steps.
@@ -40,8 +41,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 THRESHOLD = 80  # per cent
 MARGIN = 12.5
 GROUP = 64
-#: Classes of one bucket that are compared in one block; hubs given to larger buckets before that.
-BLOCK, HUB_ROUNDS = 512, 6
+#: Classes of one bucket that are compared in one block; buckets over LARGE get further hubs before that.
+BLOCK, LARGE, HUB_ROUNDS = 1024, 8192, 6
 #: Ids broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(1)
@@ -164,10 +165,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) ->
 
 
 def _open_buckets(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of buckets (band, key, class, component, n) whose members lie in several components."""
+    """Members of buckets (band, key, class, component, n, hub) that lie in several components; the hub is in an
+    outlying one (the main one tends to have the least label)."""
     rows = shared.join(joined, shared["class"] == joined["node"], "left").select("band", "key", "class", F.coalesce("component", "class").alias("component"))
-    several = rows.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n"), F.min("class").alias("hub")).where("_low != _high")
-    return rows.join(several.drop("_low", "_high"), ["band", "key"])
+    several = rows.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("hub_component"), F.count("*").alias("n"), F.max_by("class", "component").alias("hub")).where("_low != hub_component")
+    return rows.join(several.drop("_low"), ["band", "key"])
 
 
 def block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -215,9 +217,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     open_ = written(_open_buckets(shared.where("class != hub").select("band", "key", "class"), joined), "open")
     for _ in range(HUB_ROUNDS):
-        if not open_.where(F.col("n") > BLOCK).limit(1).count():
+        if not open_.where(F.col("n") > LARGE).limit(1).count():
             break
-        pairs = open_.where("class != hub").select("hub", "class").distinct().join(tried, ["hub", "class"], "left_anti")
+        pairs = open_.where("component != hub_component").select(F.least("hub", "class").alias("hub"), F.greatest("hub", "class").alias("class")).distinct().join(tried, ["hub", "class"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = tried.union(pairs)
         links = links.union(written(verified(written(likely(pairs, classes), "likely-pairs"), texts), "links"))
