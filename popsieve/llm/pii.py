@@ -110,13 +110,17 @@ def labelled(text: Column) -> Column:
     return F.filter(F.transform(matches, item), lambda s: s["end"] > s["start"])
 
 
-def _with_kind(items: Column, base: Column) -> Column:
-    """Of each labelled value: the kind of the base span that starts there (-1: none), and whether any overlaps it."""
+def _with_kind(items: Column, base: Column, text: Column) -> Column:
+    """Of each labelled value: the kind of the base span that starts there (-1: none), and whether any overlaps it.
+
+    Where a base span starts, the value is that span, blanks and all."""
 
     def item(s: Column) -> Column:
         same = F.filter(base, lambda b: (b["start"] >= s["start"]) & (b["start"] <= s["start"] + 1))
         over = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.struct(s["label"], s["value"], s["start"], s["end"], F.when(F.size(same) > 0, F.element_at(F.transform(same, lambda b: b["kind"]), 1)).otherwise(F.lit(-1)).alias("kind"), over.alias("over"))
+        first = F.get(same, 0)
+        value = F.when(F.size(same) > 0, F.lower(F.substring(text, first["start"] + 1, first["end"] - first["start"]))).otherwise(s["value"])
+        return F.struct(s["label"].alias("label"), value.alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.when(F.size(same) > 0, first["kind"]).otherwise(F.lit(-1)).alias("kind"), over.alias("over"))
 
     return F.transform(items, item)
 
@@ -139,8 +143,8 @@ def accepted(instances: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base, spans (arrays of kind number, start, end; by kind, then start) and the columns in `keep`."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"))).withColumn("_row", F.monotonically_increasing_id())
-    table = written(rows.drop("_text") if "text" not in keep else rows.drop("_text"), "pii-spans")
+    rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"), F.col("_text"))).withColumn("_row", F.monotonically_increasing_id())
+    table = written(rows.drop("_text"), "pii-spans")
     items = table.select("_row", F.explode("_items").alias("_")).select("_row", "_.*")
     trusted = accepted(items.select("label", "value", "kind"))
     new = items.where("not over").where(F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 3)).select("_row", "label", "start", "end")

@@ -35,6 +35,8 @@ STRIDE = 12
 PER_LABEL = 1500
 WINDOWS_PER_DOC = 80
 THRESHOLD = 0.3
+#: Steps of each round at least, however small the sample.
+STEPS = 60
 
 
 def grams(word: str) -> list[int]:
@@ -172,8 +174,8 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
             good = np.zeros(len(odds), bool)
             good[order] = rank < rounds - turn
             pool = np.flatnonzero(usable & (good | (labels[owner] == 0)))
-        for _ in range(epochs):
-            toxic = labels[owner[pool]] == 1
+        toxic = labels[owner[pool]] == 1
+        for _ in range(max(epochs, math.ceil(STEPS * batch / max(1, (~toxic).sum())))):
             ones, zeros = rng.permutation(pool[toxic]), rng.permutation(pool[~toxic])
             for k in range(math.ceil(len(zeros) / batch)):
                 some = rng.choice(ones, min(len(ones), batch // 4), replace=False)
