@@ -94,14 +94,14 @@ def plausible(more, fewer, n_a, n_b, threshold: int = THRESHOLD) -> np.ndarray:
     return fits & (at >= best - MARGIN)
 
 
-def sketched(rows: DataFrame) -> DataFrame:
+def sketched(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), sketch of (doc_id, text)."""
 
     def make():
         def step(batch):
             sizes, digests, sketches = [], [], []
             for data in byte_views(batch.column("text")):
-                found = shingle_set(data, WORDS)
+                found = shingle_set(data, words)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sketches.append(registers(found).tobytes())
@@ -134,7 +134,7 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_texts(rows, make, "hub long, class long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b): the pairs (hub, class) whose full sets reach the threshold. texts: (doc_id, text)."""
     degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
     salted = written(pairs.join(degree, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("salts")).alias("salt")), "salted-pairs")
@@ -151,7 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) ->
         for batch in batches:
             links = []
             for of, salt, side, other, data in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "side", "class")), byte_views(batch.column("text")), strict=True):
-                found = shingle_set(data, WORDS)
+                found = shingle_set(data, words)
                 if side == 0:
                     hub, full = (of, salt), found
                 elif hub == (of, salt):
@@ -198,10 +198,10 @@ def block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "hub long, class long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles (of `words` words), component_id, kept."""
     texts = id_and_text(docs, id_col, text_col)
-    sketches = written(sketched(texts), "sketches")
+    sketches = written(sketched(texts, words), "sketches")
     with_set = sketches.where("n_shingles > 0 and doc_id is not null")
     least = with_set.groupBy("digest").agg(F.min("doc_id").alias("class"))
     members = written(sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(least, "digest", "left").select("doc_id", "n_shingles", "class"), "members")
@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = bands.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     shared = written(bands.join(buckets, ["band", "key"]), "buckets")
     tried = written(shared.where("class != hub").select("hub", "class").distinct(), "pairs")
-    links = written(verified(written(likely(tried, classes), "likely-pairs"), texts), "links")
+    links = written(verified(written(likely(tried, classes), "likely-pairs"), texts, words), "links")
     joined = components(links)
 
     open_ = written(_open_buckets(shared.where("class != hub").select("band", "key", "class"), joined), "open")
@@ -222,17 +222,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = open_.where("component != hub_component").select(F.least("hub", "class").alias("hub"), F.greatest("hub", "class").alias("class")).distinct().join(tried, ["hub", "class"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = tried.union(pairs)
-        links = links.union(written(verified(written(likely(pairs, classes), "likely-pairs"), texts), "links"))
+        links = links.union(written(verified(written(likely(pairs, classes), "likely-pairs"), texts, words), "links"))
         joined = components(links)
         open_ = written(_open_buckets(open_.where("class != hub").select("band", "key", "class"), joined), "open")
     if open_.limit(1).count():
         pairs = written(block_pairs(open_, classes).distinct().join(tried, ["hub", "class"], "left_anti"), "pairs")
         if pairs.limit(1).count():
-            links = links.union(written(verified(pairs, texts), "links"))
+            links = links.union(written(verified(pairs, texts, words), "links"))
             joined = components(links)
     out = members.join(joined, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_near_dedup(spark, sf_dir):
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), words=4)

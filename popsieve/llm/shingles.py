@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS = 4
+#: Words of a shingle unless the caller says otherwise (op1 takes four).
+WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _rng = np.random.default_rng(20)
