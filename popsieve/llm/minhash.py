@@ -8,9 +8,9 @@ truncated minimum. Sketches merge by taking greater registers, and equal registe
 2. Documents with equal sets are one class, named by its least id; only classes go on.
 3. Bands of ROWS registers are hashed. In every bucket the least class is the hub, and each other class is
    paired with it: as many pairs as members, however large the bucket. Where the other members lie in
-   several components after that, those in different ones are compared in blocks; a large bucket gets
-   further hubs from its outlying components first, round by round. So every two classes that share a
-   bucket end up compared, or in one component already.
+   several components after that, those in different ones are compared and verified in blocks, which give only
+   links that join components; a large bucket gets further hubs from its outlying components first, round by
+   round. So every two classes that share a bucket end up compared, or in one component already.
 4. Pairs are dropped only if the joint likelihood of their registers, given the set sizes, is far better
    (MARGIN in log) at some lower similarity than at the threshold; the rest are verified on full sets.
 5. Components of the verified links by large-star and small-star steps.
@@ -41,8 +41,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 THRESHOLD = 80  # per cent
 MARGIN = 12.5
 GROUP = 64
-#: Classes of one bucket that are compared in one block; buckets over LARGE get further hubs before that.
-BLOCK, LARGE, HUB_ROUNDS = 1024, 8192, 6
+#: Classes, and shingles, of one bucket that make a block; buckets over LARGE get further hubs before that.
+BLOCK, BLOCK_SHINGLES, LARGE, HUB_ROUNDS = 1024, 2_000_000, 8192, 6
 #: Ids broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(1)
@@ -139,8 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold:
     degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
     salted = written(pairs.join(degree, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("salts")).alias("salt")), "salted-pairs")
     ids = written(salted.select(F.explode(F.array("hub", "class")).alias("doc_id")).distinct(), "pair-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = written(texts.join(few, "doc_id", "left_semi"), "pair-texts")
+    wanted = written(texts.join(_few(ids), "doc_id", "left_semi"), "pair-texts")
     members = salted.join(wanted, F.col("class") == F.col("doc_id")).select("hub", "salt", F.lit(1).alias("side"), "class", "text")
     hubs = salted.select("hub", "salt").distinct().join(wanted, F.col("hub") == F.col("doc_id")).select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("class"), "text")
     rows = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
@@ -172,30 +171,74 @@ def _open_buckets(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(several.drop("_low"), ["band", "key"])
 
 
-def block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (hub, class) of the classes of each open bucket in different components, compared in blocks."""
+def _sketch_matrix(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _partners(table: pa.Table):
+    """A function k -> rows of this block to compare with row k: in another component, first sharing a bucket in this
+    band, and likely by their sketches. It reads the components anew each time."""
+    band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    sketch = _sketch_matrix(table)
+    classes, owns, sizes = (table.column(c).to_numpy() for c in ("class", "own", "n_shingles"))
+
+    def of(k: int, comps: np.ndarray) -> np.ndarray:
+        others = np.flatnonzero((comps != comps[k]) & ((classes > classes[k]) if same else (owns > owns[k])))
+        if not len(others):
+            return others
+        equal = (sketch[others] == sketch[k]).reshape(-1, BANDS, ROWS).all(2)
+        others = others[equal.argmax(1) == band]  # each pair in the first band that it shares
+        a, b = sketch[k], sketch[others]
+        return others[plausible((a > b).sum(1), (a < b).sum(1), np.full(len(others), sizes[k]), sizes[others])]
+
+    return of
+
+
+def block_links(rows: DataFrame, sketches: DataFrame, texts: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join the components of the classes of each open bucket, compared in blocks.
+
+    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once. A first pass on sketches
+    keeps the classes that have someone to be compared with; only their texts are dealt. The second verifies full
+    sets where they meet and gives the links that join components, never a block's pairs.
+    """
     side = sketches.select("class", "n_shingles", "sketch")
-    blocks = rows.join(side, "class").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    weights = rows.join(side.drop("sketch"), "class").groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = rows.join(side, "class").join(weights, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = blocks.select("band", "key", "class", "component", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
     dealt = dealt.select("band", "key", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "class", "component", "n_shingles", "sketch")
 
+    def busy(table: pa.Table) -> pa.Table:
+        comps, of = table.column("component").to_numpy(), _partners(table)
+        wanted = np.zeros(len(comps), bool)
+        for k in range(len(comps)):
+            others = of(k, comps)
+            wanted[others] = True
+            wanted[k] |= bool(len(others))
+        return table.filter(pa.array(wanted))
+
     def compare(table: pa.Table) -> pa.Table:
-        band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        classes, owns, comps, sizes = (table.column(c).to_numpy() for c in ("class", "own", "component", "n_shingles"))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in range(len(classes)):
-            others = np.flatnonzero((comps != comps[k]) & ((classes > classes[k]) if same else (owns > owns[k])))
-            if not len(others):
-                continue
-            equal = (sketch[others] == sketch[k]).reshape(-1, BANDS, ROWS).all(2)
-            others = others[equal.argmax(1) == band]  # each pair in the first band that it shares
-            a, b = sketch[k], sketch[others]
-            good = others[plausible((a > b).sum(1), (a < b).sum(1), np.full(len(others), sizes[k]), sizes[others])]
-            found.append((np.minimum(classes[good], classes[k]), np.maximum(classes[good], classes[k])))
-        return pa.table({"hub": np.concatenate([a for a, _ in found]), "class": np.concatenate([b for _, b in found])})
-
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "hub long, class long")
+        comps, of = table.column("component").to_numpy().copy(), _partners(table)
+        classes, links = table.column("class").to_numpy(), []
+        sets = [shingle_set(data, words) for column in table.column("text").chunks for data in byte_views(column)]
+        for k in range(len(sets)):
+            for other in of(k, comps):
+                if comps[other] == comps[k]:
+                    continue
+                both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
+                if both and 100 * both >= threshold * (len(sets[k]) + len(sets[other]) - both):
+                    links.append((classes[other], classes[k]))
+                    comps[comps == comps[other]] = comps[k]
+        return pa.table({name: pa.array([link[n] for link in links], pa.int64()) for n, name in enumerate("ab")})
+
+    work = written(dealt.groupBy("band", "key", "i", "j").applyInArrow(busy, dealt.schema), "block-classes")
+    ids = work.select(F.col("class").alias("doc_id")).distinct()
+    wanted = texts.join(_few(written(ids, "block-ids")), "doc_id", "left_semi").withColumnRenamed("doc_id", "class")
+    return work.join(wanted, "class").groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """`ids`, to be broadcast if they are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -226,10 +269,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = components(links)
         open_ = written(_open_buckets(open_.where("class != hub").select("band", "key", "class"), joined), "open")
     if open_.limit(1).count():
-        pairs = written(block_pairs(open_, classes).distinct().join(tried, ["hub", "class"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            links = links.union(written(verified(pairs, texts, words), "links"))
-            joined = components(links)
+        found = written(block_links(open_, classes, texts, words), "links")
+        if found.limit(1).count():
+            joined = components(links.union(found))
     out = members.join(joined, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -58,6 +58,28 @@ def test_near_dedup(docs, empty):
     assert len(out) == len(TEXTS) + 1 and minhash.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_dedup_of_a_cloud_of_copies(spark, monkeypatch, words):
+    """Copies of one text, many of them just under the threshold: blocks find what hubs miss."""
+    monkeypatch.setattr(minhash, "BLOCK", 60)
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(150):
+        text = [f"w{k}" for k in range(120)]
+        for at in rng.integers(0, 120, rng.integers(1, 9)):
+            text[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(text)
+    sets = [{tuple(t[k : k + words]) for k in range(len(t) - words + 1)} for t in texts]
+    component = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {k: r["component_id"] for k, r in by_id(minhash.near_groups(docs, words=words)).items()} == dict(enumerate(component))
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
