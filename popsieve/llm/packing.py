@@ -34,6 +34,8 @@ SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 END_ID = 1
 WINDOW = 2048
+#: Chunks whose ids a Python worker remembers; workers outlive the stage, so this is memory all later stages lack.
+CHUNKS_KEPT = 100_000
 _ENCODERS: dict[str, object] = {}
 
 
@@ -63,7 +65,7 @@ def encoder(path: str):
         for text in ("Hello, world's  12 été\n\n x", "日本 \t\U0001f642a", "".join(map(chr, range(1, 700)))):
             if fast(text) != one.encode(text, add_special_tokens=False).ids:
                 raise ValueError(f"{path} is not encoded alike by both libraries")
-        chunker = Chunker(lambda text: array("H", fast(text)).tobytes(), b"", many=True)
+        chunker = Chunker(lambda text: array("H", fast(text)).tobytes(), b"", limit=CHUNKS_KEPT, many=True)
         special = array("H", [SPECIAL_ID]).tobytes()
         # the library takes the special string out of a text before it cuts the rest
         _ENCODERS[path] = lambda text: special.join(map(chunker, text.split(SPECIAL))) if SPECIAL in text else chunker(text)
