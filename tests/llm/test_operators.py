@@ -52,7 +52,7 @@ def by_id(df):
 
 
 def test_near_dedup(docs, empty):
-    out = by_id(minhash.near_groups(docs))
+    out = by_id(minhash.near_groups(docs, words=4))
     assert {k: out[k]["component_id"] for k in (0, 1, 2, 3, 4, 15)} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 15: 0}
     assert (out[0]["n_shingles"], out[4]["n_shingles"], out[6]["n_shingles"]) == (97, 0, 1)
     assert len(out) == len(TEXTS) + 1 and minhash.near_groups(empty).count() == 0
