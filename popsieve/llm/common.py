@@ -7,8 +7,10 @@ the empty text unless its docstring says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,9 +66,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
-    """mapInArrow over `df`; make() is called once a task and gives a function batch -> table/batch."""
+def giving_back(out: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of `out`; after the last, what they took and freed goes back to the system. Python workers
+    outlive their task, and memory that they hold on to is memory all later stages lack."""
+    yield from out
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over `df` by run(batches), whose memory goes back when a task is over."""
     bounded_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: giving_back(run(batches)), schema)
+
+
+def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
+    """map_arrow over `df`; make() is called once a task and gives a function batch -> table/batch."""
 
     def run(batches):
         step = make()
@@ -74,7 +91,7 @@ def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, id_and_text, map_texts, written
+from .common import documents, id_and_text, map_arrow, map_texts, written
 from .components import components
 from .langid import byte_views
 from .shingles import WORDS, shingle_set
@@ -143,7 +143,6 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold:
     members = salted.join(wanted, F.col("class") == F.col("doc_id")).select("hub", "salt", F.lit(1).alias("side"), "class", "text")
     hubs = salted.select("hub", "salt").distinct().join(wanted, F.col("hub") == F.col("doc_id")).select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("class"), "text")
     rows = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
-    bounded_batches(rows.sparkSession)
 
     def run(batches):
         hub, full = None, None
@@ -160,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def _open_buckets(shared: DataFrame, joined: DataFrame) -> DataFrame:

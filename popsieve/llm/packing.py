@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunker
-from .common import bounded_batches, documents, id_and_text, strings, written
+from .common import documents, id_and_text, map_arrow, strings, written
 
 TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
@@ -74,8 +74,6 @@ def encoder(path: str):
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """Pass 1: doc_id, ids (with the end id), n_ids, part, place, before (ids before it in its part)."""
-    rows = id_and_text(docs, id_col, text_col)
-    bounded_batches(rows.sparkSession)
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches):
@@ -90,7 +88,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
             )
             place, before = place + len(ids), starts[-1]
 
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_ids long, part long, place long, before long")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids binary, n_ids long, part long, place long, before long")
 
 
 def cut(rows: DataFrame, window: int) -> DataFrame:
@@ -110,7 +108,7 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], NAMES)
 
-    return rows.mapInArrow(run, ", ".join(f"`{name}` long" for name in NAMES))
+    return map_arrow(rows, run, ", ".join(f"`{name}` long" for name in NAMES))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
