@@ -4,7 +4,8 @@ Base spans are leftmost, non-overlapping matches per kind; matches that fail the
 retries. A match's place is the running length of the gaps and matches before it (the text split at the
 pattern, and the matches), summed in blocks.
 
-Contexts are labels, a word or two before `:`, `=` or `#`, and their instances the values that follow. The graph
+Contexts are labels, a word or two before `:`, `=` or `#`, and their instances the values that follow: a whole run
+of digits, blanks and punctuation, or all up to a blank, of any length. The graph
 of labels and distinct values over the whole corpus is scored in ROUNDS: a label's confidence in a kind
 is the mean score of its values (base spans score 1) if it has SUPPORT of them or more; a value's score is
 that of its most confident label. Values with three digits or more or an `@` under labels of
@@ -35,7 +36,8 @@ PATTERNS = {
 #: Cheap signs that a text may have a match.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 LABEL = r"(?<![\p{L}\p{N}])\p{L}[\p{L}_-]{1,30}(?:\x20\p{L}{1,30})?\x20{0,2}[:=#]\x20{0,2}(?=[^\s,;:=#])"
-VALUE = r"^[^\s,;]{1,64}"
+#: What follows a label: a run of digits, blanks and punctuation and what hangs on to its last digit, or all up to a blank.
+VALUE = r"^(?:[(+]{0,2}[0-9][0-9().\x20/-]*[0-9][^\s,;]*+|[^\s,;]++)"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 BLOCK = 256
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -98,22 +100,34 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(number, kind) for number, kind in enumerate(KINDS))).cast(SPAN)
 
 
+def trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, r"[\x20.!?)\]}\"'>(+/-]+$", "")
+
+
 def labelled(text: Column) -> Column:
-    """array<struct<label, value, start, end>> of the values after labels."""
+    """array<struct<label, value, start, end>> of the values after labels, whatever their length."""
     matches = found(text, LABEL, r"\p{L}\x20{0,2}[:=#]")
+    tails = F.slice(F.split(text, LABEL, -1), F.lit(2), F.greatest(F.size(matches), F.lit(0)))
 
-    def item(m: Column) -> Column:
+    def item(m: Column, tail: Column) -> Column:
         start = m["start"] + F.length(m["value"])
-        value = F.regexp_replace(F.regexp_extract(F.substring(text, start + 1, F.lit(64)), VALUE, 0), r"[.!?)\]}\"'>]+$", "")
+        near = F.regexp_extract(tail, VALUE, 0)
+        # a value that reaches the next label may go on in it
+        value = trimmed(F.when(F.length(near) < F.length(tail), near).otherwise(F.regexp_extract(F.substring(text, start + 1, F.length(text)), VALUE, 0)))
         return F.struct(F.lower(F.regexp_replace(m["value"], r"\x20+", " ")).alias("label"), F.lower(value).alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-    return F.filter(F.transform(matches, item), lambda s: s["end"] > s["start"])
+    return F.filter(F.zip_with(matches, tails, item), lambda s: s["end"] > s["start"])
 
 
 def _with_kind(items: Column, base: Column, text: Column) -> Column:
     """Of each labelled value: the kind of the base span that starts there (-1: none), and whether any overlaps it.
 
-    Where a base span starts, the value is that span, blanks and all."""
+    Where a base span starts, the value is that span, blanks and all; before a later one it ends."""
+
+    def cut(s: Column) -> Column:
+        later = F.array_min(F.transform(F.filter(base, lambda b: (b["start"] > s["start"] + 1) & (b["start"] < s["end"]) & s["value"].rlike("^[(+0-9]")), lambda b: b["start"]))
+        value = F.when(later.isNull(), s["value"]).otherwise(trimmed(F.substring(s["value"], F.lit(1), later - s["start"])))
+        return F.struct(s["label"].alias("label"), value.alias("value"), s["start"].alias("start"), F.when(later.isNull(), s["end"]).otherwise(s["start"] + F.length(value)).alias("end"))
 
     def item(s: Column) -> Column:
         same = F.filter(base, lambda b: (b["start"] >= s["start"]) & (b["start"] <= s["start"] + 1))
@@ -122,7 +136,7 @@ def _with_kind(items: Column, base: Column, text: Column) -> Column:
         value = F.when(F.size(same) > 0, F.lower(F.substring(text, first["start"] + 1, first["end"] - first["start"]))).otherwise(s["value"])
         return F.struct(s["label"].alias("label"), value.alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.when(F.size(same) > 0, first["kind"]).otherwise(F.lit(-1)).alias("kind"), over.alias("over"))
 
-    return F.transform(items, item)
+    return F.transform(F.transform(items, cut), item)
 
 
 def accepted(instances: DataFrame) -> DataFrame:

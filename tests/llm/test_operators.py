@@ -143,6 +143,16 @@ def test_pii_context(spark):
     assert out[20]["spans"] == "phone:5:13" and out[20]["n_phone"] == 0 and out[21]["spans"] == ""
 
 
+def test_pii_whole_values(spark):
+    """Spaced national numbers, and values of over 64 characters."""
+    seeds = [f"Tel: +1 555 010 {1000 + k}" for k in range(20)] + [f"mail: user{k}@example.org" for k in range(20)]
+    long = "a@" + "b" * 90
+    odd = ["Tel: 020 7946 0199 now", "Tel: (020) 7946 0199.", f"mail: {long} x", "Tel: 020 7946 0199 +44 20 7946 0100", "Tel: 030 1234567 10.0.0.1"]
+    rows = list(enumerate(seeds + odd))
+    out = by_id(pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert [out[len(seeds) + k]["spans"] for k in range(5)] == ["phone:5:18", "phone:5:20", f"email:6:{6 + len(long)}", "phone:5:18,phone:19:35", "ip:17:25,phone:5:16"]
+
+
 def test_tokens(docs, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     out = by_id(tokencount.count_tokens(docs))
