@@ -7,9 +7,10 @@ pattern, and the matches), summed in blocks.
 Contexts are labels, a word or two before `:`, `=` or `#`, and their instances the values that follow: a whole run
 of digits, blanks and punctuation, or all up to a blank, of any length. The graph
 of labels and distinct values over the whole corpus is scored in ROUNDS: a label's confidence in a kind
-is the mean score of its values (base spans score 1) if it has SUPPORT of them or more; a value's score is
-that of its most confident label. Values with three digits or more or an `@` under labels of
-CONFIDENCE or more become spans of that kind, unless they overlap a base span. Base spans stay.
+is s / (s + misfits), where s sums the scores of its values (base spans score 1), SUPPORT at least, and misfits
+are its values of another kind or like no identifier; what is merely unseen counts for neither. A value's
+score is that of its most confident label. Values with an `@` (email) or three digits or more (the other kinds)
+under labels of CONFIDENCE or more become spans of that kind, unless they overlap a base span. Base spans stay.
 
 The patterns are written so that Java matches them without recursion or retrying runs, whatever the text's
 length; the tests hold them against the plain ones. Null text counts as empty. Ties between kinds go to
@@ -139,19 +140,31 @@ def _with_kind(items: Column, base: Column, text: Column) -> Column:
     return F.transform(F.transform(items, cut), item)
 
 
+def fitting(kind: Column, value: Column) -> Column:
+    """The kinds, as bits, that a value may be of: its own if a base span, else by its look; 0 is like no identifier."""
+    email, others = 1 << KINDS.index("email"), sum(1 << k for k, name in enumerate(KINDS) if name != "email")
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    look = F.when(value.contains("@"), email).when(digits >= 3, others).otherwise(0)
+    return F.when(kind >= 0, F.call_function("shiftleft", F.lit(1), kind)).otherwise(look)
+
+
 def accepted(instances: DataFrame) -> DataFrame:
-    """(label, kind) pairs to trust, from rows (label, value, kind): a graph of labels and distinct values."""
-    edges = written(instances.groupBy("label", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    scores = edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    """(label, kind, confidence) to trust, from rows (label, value, kind, fits): a graph of labels and distinct values."""
+    edges = written(instances.groupBy("label", "value").agg(F.max("kind").alias("kind"), F.max_by("fits", "kind").alias("fits")), "pii-edges")
+    seeds = edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    misfits = edges.groupBy("label").agg(F.array(*(F.count_if(F.col("fits").bitwiseAND(1 << k) == 0) for k in range(len(KINDS)))).alias("misfits"))
+    scores = seeds
     for turn in range(ROUNDS):
-        sizes = edges.groupBy("label").agg(F.count("*").alias("n"))
-        labels = edges.select("label", "value").join(scores, "value").groupBy("label", "kind").agg(F.sum("score").alias("s")).join(sizes, "label")
-        labels = written(labels.where((F.col("s") >= SUPPORT) & (F.col("s") / F.col("n") >= CONFIDENCE)).select("label", "kind", (F.col("s") / F.col("n")).alias("confidence")), "pii-labels")
+        labels = edges.join(scores.withColumnRenamed("kind", "as"), "value").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("as"))) != 0)
+        labels = labels.groupBy("label", F.col("as").alias("kind")).agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).join(misfits, "label")
+        labels = labels.withColumn("confidence", F.col("s") / (F.col("s") + F.get("misfits", F.col("kind"))))
+        labels = written(labels.where(F.col("confidence") >= CONFIDENCE).select("label", "kind", "confidence"), "pii-labels")
         if turn == ROUNDS - 1:
             break
-        fresh = edges.where("kind < 0").select("label", "value").join(labels, "label").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        scores = written(edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
-    return labels.groupBy("label").agg(F.max_by(F.col("kind"), F.struct("confidence", -F.col("kind"))).alias("kind"))
+        fresh = edges.where("kind < 0").select("label", "value", "fits").join(labels, "label").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("kind"))) != 0)
+        fresh = fresh.groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+        scores = written(seeds.unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
+    return labels
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,9 +173,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"), F.col("_text"))).withColumn("_row", F.monotonically_increasing_id())
     table = written(rows.drop("_text"), "pii-spans")
     items = table.select("_row", F.explode("_items").alias("_")).select("_row", "_.*")
-    trusted = accepted(items.select("label", "value", "kind"))
-    new = items.where("not over").where(F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 3)).select("_row", "label", "start", "end")
-    new = new.join(trusted, "label").groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new"))
+    items = items.withColumn("fits", fitting(F.col("kind"), F.col("value")))
+    trusted = accepted(items.select("label", "value", "kind", "fits"))
+    new = items.where("not over and fits != 0").select("_row", "label", "start", "end", "fits")
+    new = new.join(trusted, "label").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("kind"))) != 0)
+    new = new.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    new = new.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_new"))
     spans = F.array_sort(F.concat("base", F.coalesce("_new", F.array()).cast(SPAN)))
     return table.join(new, "_row", "left").select("doc_id", *keep, "base", spans.alias("spans"))
 

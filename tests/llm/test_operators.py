@@ -153,6 +153,16 @@ def test_pii_whole_values(spark):
     assert [out[len(seeds) + k]["spans"] for k in range(5)] == ["phone:5:18", "phone:5:20", f"email:6:{6 + len(long)}", "phone:5:18,phone:19:35", "ip:17:25,phone:5:16"]
 
 
+def test_pii_labels_with_many_unseen_values(spark):
+    """Unseen identifiers don't speak against a label; words and other kinds do."""
+    rows = [f"phone: +1 555 010 {1000 + k}" for k in range(12)] + [f"phone: 0171 555 {1000 + k}" for k in range(8)]
+    rows += [f"contact: +1 555 020 {1000 + k}" for k in range(12)] + [f"contact: nobody{'abcdefgh'[k]}" for k in range(8)] + ["contact: 0171 555 0199"]
+    rows += [f"reach: +1 555 030 {1000 + k}" for k in range(12)] + [f"reach: u{k}@example.org" for k in range(8)] + ["reach: 0172 555 0199"]
+    out = by_id(pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))))
+    assert [out[k]["spans"] for k in range(12, 20)] == ["phone:7:20"] * 8
+    assert out[40]["spans"] == out[61]["spans"] == ""
+
+
 def test_tokens(docs, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     out = by_id(tokencount.count_tokens(docs))
