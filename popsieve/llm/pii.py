@@ -4,17 +4,21 @@ Base spans are leftmost, non-overlapping matches per kind; matches that fail the
 retries. A match's place is the running length of the gaps and matches before it (the text split at the
 pattern, and the matches), summed in blocks.
 
-Contexts are labels, a word or two before `:`, `=` or `#`, and their instances the values that follow: a whole run
-of digits, blanks and punctuation, or all up to a blank, of any length. The graph
-of labels and distinct values over the whole corpus is scored in ROUNDS: a label's confidence in a kind
+Contexts are of two sorts. Labels are a word or two before `:`, `=` or `#`, and their instances the values that
+follow: a whole run of digits, blanks and punctuation, or all up to a blank, of any length. Contexts of prose
+are the one to BESIDE words left or right of a base span, a run of digits or a word with an `@` anywhere; what
+else stands there, plain words too, are instances as well. The graph
+of contexts and distinct values over the whole corpus is scored in ROUNDS: a context's confidence in a kind
 is s / (s + misfits), where s sums the scores of its values (base spans score 1), SUPPORT at least, and misfits
 are its values of another kind or like no identifier; what is merely unseen counts for neither. A value's
-score is that of its most confident label. Values with an `@` (email) or three digits or more (the other kinds)
-under labels of CONFIDENCE or more become spans of that kind, unless they overlap a base span. Base spans stay.
+score is that of its most confident context. Values in contexts of CONFIDENCE or more become spans of that kind
+unless they overlap a base span: with an `@` (email), with three digits or more after a label, or in prose with
+the length of a phone or card number that is no date. Of overlapping ones the first stays. Base spans stay.
 
 The patterns are written so that Java matches them without recursion or retrying runs, whatever the text's
 length; the tests hold them against the plain ones. Null text counts as empty. Ties between kinds go to
-the kind listed first. Only (label, value) rows shuffle, counted before they do.
+the kind listed first. Only hashes of (context, value)
+pairs shuffle, made distinct before they do; plain words only where a context has SUPPORT values.
 """
 
 from __future__ import annotations
@@ -39,6 +43,16 @@ SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9]
 LABEL = r"(?<![\p{L}\p{N}])\p{L}[\p{L}_-]{1,30}(?:\x20\p{L}{1,30})?\x20{0,2}[:=#]\x20{0,2}(?=[^\s,;:=#])"
 #: What follows a label: a run of digits, blanks and punctuation and what hangs on to its last digit, or all up to a blank.
 VALUE = r"^(?:[(+]{0,2}[0-9][0-9().\x20/-]*[0-9][^\s,;]*+|[^\s,;]++)"
+#: Runs of digits, blanks and punctuation, and words with an `@`, wherever they stand.
+CANDIDATE = r"""(?<![\p{L}\p{N}])[(+]{0,2}[0-9](?:[0-9().\x20/-]*[0-9])?(?![\p{L}\p{N}])|(?<![^\s,;<>()\[\]{}"'])[^\s,;<>()\[\]{}"'@]++@[^\s,;<>()\[\]{}"']++"""
+#: A context of prose is up to so many words beside a value, within so many characters.
+BESIDE, NEAR = 3, 120
+APART = r"[^\p{L}\p{N}@]+"
+#: Digits that make a number in prose look like a phone number or a card; dates don't.
+LOOKS = {"phone": (7, 15), "card": (12, 19)}
+DATE = r"^(?:(?:19|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/. ])[0-9]{1,2}\2(?:19|20)?[0-9]{2})(?![0-9])"
+#: Contexts that are broadcast at most; beyond, the join shuffles.
+BROADCAST_CONTEXTS = 1_000_000
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 BLOCK = 256
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -140,45 +154,124 @@ def _with_kind(items: Column, base: Column, text: Column) -> Column:
     return F.transform(F.transform(items, cut), item)
 
 
-def fitting(kind: Column, value: Column) -> Column:
-    """The kinds, as bits, that a value may be of: its own if a base span, else by its look; 0 is like no identifier."""
+def bit(kind: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), kind)
+
+
+def fitting(kind: Column, value: Column, prose: Column) -> Column:
+    """The kinds, as bits, that a value may be of: its own if a base span, else by its look; 0 is like no identifier.
+
+    No label says what a number in prose is, so it takes the length of a phone or card number."""
     email, others = 1 << KINDS.index("email"), sum(1 << k for k, name in enumerate(KINDS) if name != "email")
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    look = F.when(value.contains("@"), email).when(digits >= 3, others).otherwise(0)
-    return F.when(kind >= 0, F.call_function("shiftleft", F.lit(1), kind)).otherwise(look)
+    bare = sum((F.when(digits.between(*LOOKS[name]), 1 << KINDS.index(name)).otherwise(0) for name in LOOKS), F.lit(0))
+    look = F.when(value.contains("@"), email).when(prose, F.when(value.rlike(DATE), 0).otherwise(bare)).when(digits >= 3, others).otherwise(0)
+    return F.when(kind >= 0, bit(kind)).otherwise(look)
+
+
+def contexts(side: str, nearest: list[Column]) -> list[Column]:
+    """Hashes of the one to BESIDE words on a side, nearest first; null where there are fewer."""
+    return [F.when(nearest[n].isNotNull(), F.xxhash64(F.lit(side), *nearest[: n + 1])) for n in range(BESIDE)]
+
+
+def beside(text: Column, start: Column, end: Column) -> Column:
+    """Hashes of the contexts on both sides of a span. A word that NEAR characters cut through is none."""
+    before = F.split(F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))), APART)
+    before = F.filter(F.reverse(F.when(start > NEAR, F.slice(before, F.lit(2), F.lit(NEAR))).otherwise(before)), lambda w: w != "")
+    right = F.substring(text, end + 1, F.lit(NEAR))
+    after = F.split(F.lower(right), APART)
+    after = F.filter(F.when(F.length(right) == NEAR, F.slice(after, F.lit(1), F.size(after) - 1)).otherwise(after), lambda w: w != "")
+    return F.array_compact(F.array(*contexts("left", [F.get(before, k) for k in range(BESIDE)]), *contexts("right", [F.get(after, k) for k in range(BESIDE)])))
+
+
+def in_prose(text: Column, base: Column) -> Column:
+    """array<struct<value, start, end, kind>> of the base spans and all candidates that overlap none."""
+    seeds = F.transform(base, lambda b: F.struct(F.lower(F.substring(text, b["start"] + 1, b["end"] - b["start"])).alias("value"), b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
+
+    def item(m: Column) -> Column:
+        later = F.array_min(F.transform(F.filter(base, lambda b: (b["start"] > m["start"]) & (b["start"] < m["start"] + F.length(m["value"]))), lambda b: b["start"]))
+        value = trimmed(F.when(later.isNull(), m["value"]).otherwise(F.substring(m["value"], F.lit(1), later - m["start"])))
+        return F.struct(F.lower(value).alias("value"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"), F.lit(-1).alias("kind"))
+
+    free = F.filter(F.transform(found(text, CANDIDATE, "[0-9@]"), item), lambda s: (s["end"] > s["start"]) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.concat(seeds, free)
+
 
+def plain(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(label, value) of the plain words that stand in the wanted contexts: what speaks against them."""
+    words = texts.select(F.filter(F.split(F.lower("_text"), APART), lambda w: w != "").alias("_words"))
 
-def accepted(instances: DataFrame) -> DataFrame:
-    """(label, kind, confidence) to trust, from rows (label, value, kind, fits): a graph of labels and distinct values."""
-    edges = written(instances.groupBy("label", "value").agg(F.max("kind").alias("kind"), F.max_by("fits", "kind").alias("fits")), "pii-edges")
+    def near(w: Column, k: Column) -> Column:
+        left = [F.when(k > n, F.get(F.col("_words"), k - n - 1)) for n in range(BESIDE)]
+        right = [F.get(F.col("_words"), k + n + 1) for n in range(BESIDE)]
+        return F.struct(F.xxhash64(w).alias("value"), w.rlike("[0-9@]").alias("odd"), F.array_compact(F.array(*contexts("left", left), *contexts("right", right))).alias("labels"))
+
+    rows = words.select(F.explode(F.transform("_words", near)).alias("_")).where("not _.odd").select("_.value", F.explode("_.labels").alias("label"))
+    return rows.join(wanted, "label").select("label", "value").distinct()
+
+
+def accepted(edges: DataFrame) -> DataFrame:
+    """(label, kind, confidence) to trust, from distinct rows (label, value, kind, fits): a graph of contexts and values."""
     seeds = edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     misfits = edges.groupBy("label").agg(F.array(*(F.count_if(F.col("fits").bitwiseAND(1 << k) == 0) for k in range(len(KINDS)))).alias("misfits"))
     scores = seeds
     for turn in range(ROUNDS):
-        labels = edges.join(scores.withColumnRenamed("kind", "as"), "value").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("as"))) != 0)
+        labels = edges.join(scores.withColumnRenamed("kind", "as"), "value").where(F.col("fits").bitwiseAND(bit(F.col("as"))) != 0)
         labels = labels.groupBy("label", F.col("as").alias("kind")).agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).join(misfits, "label")
         labels = labels.withColumn("confidence", F.col("s") / (F.col("s") + F.get("misfits", F.col("kind"))))
         labels = written(labels.where(F.col("confidence") >= CONFIDENCE).select("label", "kind", "confidence"), "pii-labels")
         if turn == ROUNDS - 1:
             break
-        fresh = edges.where("kind < 0").select("label", "value", "fits").join(labels, "label").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("kind"))) != 0)
+        fresh = edges.where("kind < 0").select("label", "value", "fits").join(labels, "label").where(F.col("fits").bitwiseAND(bit(F.col("kind"))) != 0)
         fresh = fresh.groupBy("value", "kind").agg(F.max("confidence").alias("score"))
         scores = written(seeds.unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
     return labels
 
 
+def instances(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct (label, value, kind, fits) of the corpus: those of the items, and the plain words in contexts of prose
+    that have SUPPORT values like an identifier or more; other contexts can't be trusted in any round."""
+    edges = items.groupBy("label", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.max_by("fits", "kind").alias("fits"), F.max("prose").alias("prose"))
+    edges = written(edges, "pii-edges")
+    wanted = written(edges.groupBy("label").agg(F.count_if(F.col("fits") != 0).alias("n"), F.max("prose").alias("prose")).where(F.col("prose") & (F.col("n") >= SUPPORT)).select("label"), "pii-contexts")
+    edges, n = edges.drop("prose"), wanted.count()
+    if not n:
+        return edges
+    words = plain(texts, F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted)
+    return edges.unionByName(written(words.select("label", "value", F.lit(-1).alias("kind"), F.lit(0).alias("fits")), "pii-plain"))
+
+
+def apart(spans: Column) -> Column:
+    """Spans without those that overlap an earlier or, from one start, longer one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("_end"), s["kind"].alias("kind"))))
+
+    def step(done: Column, s: Column) -> Column:
+        fresh = s["start"] >= done["at"]
+        span = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["_end"]).alias("end"))
+        return F.struct(F.when(fresh, -s["_end"]).otherwise(done["at"]).alias("at"), F.when(fresh, F.concat(done["out"], F.array(span).cast(SPAN))).otherwise(done["out"]).alias("out"))
+
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda done: done["out"])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base, spans (arrays of kind number, start, end; by kind, then start) and the columns in `keep`."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"), F.col("_text"))).withColumn("_row", F.monotonically_increasing_id())
-    table = written(rows.drop("_text"), "pii-spans")
-    items = table.select("_row", F.explode("_items").alias("_")).select("_row", "_.*")
-    items = items.withColumn("fits", fitting(F.col("kind"), F.col("value")))
-    trusted = accepted(items.select("label", "value", "kind", "fits"))
+    texts = rows.select("_text")
+    rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"), F.col("_text"))).withColumn("_prose", in_prose(F.col("_text"), F.col("base"))).withColumn("_row", F.monotonically_increasing_id())
+
+    def item(s: Column, prose: bool, labels: Column, over: Column) -> Column:
+        fits = fitting(s["kind"], s["value"], F.lit(prose))
+        return F.struct(labels.alias("labels"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), over.alias("over"), fits.alias("fits"), F.lit(prose).alias("prose"))
+
+    of_labels = F.transform("_items", lambda s: item(s, False, F.array(F.xxhash64(F.lit("label"), s["label"])), s["over"]))
+    of_prose = F.transform("_prose", lambda s: item(s, True, beside(F.col("_text"), s["start"], s["end"]), s["kind"] >= 0))
+    table = written(rows.withColumn("_items", F.concat(of_labels, of_prose)).drop("_text", "_prose"), "pii-spans")
+    items = table.select("_row", F.explode("_items").alias("_")).select("_row", "_.*").withColumn("label", F.explode("labels"))
+    trusted = accepted(instances(items, texts))
     new = items.where("not over and fits != 0").select("_row", "label", "start", "end", "fits")
-    new = new.join(trusted, "label").where(F.col("fits").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("kind"))) != 0)
+    new = new.join(trusted, "label").where(F.col("fits").bitwiseAND(bit(F.col("kind"))) != 0)
     new = new.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    new = new.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_new"))
+    new = new.groupBy("_row").agg(apart(F.collect_list(F.struct("kind", "start", "end"))).alias("_new"))
     spans = F.array_sort(F.concat("base", F.coalesce("_new", F.array()).cast(SPAN)))
     return table.join(new, "_row", "left").select("doc_id", *keep, "base", spans.alias("spans"))
 

@@ -163,6 +163,16 @@ def test_pii_labels_with_many_unseen_values(spark):
     assert out[40]["spans"] == out[61]["spans"] == ""
 
 
+def test_pii_in_prose(spark):
+    """Words on either side of seeds find identifiers in running prose; words that anything follows don't."""
+    names = [f"{a}{b}" for a in ("bo", "la", "mi", "tu") for b in ("ra", "ken", "lis")]
+    rows = [f"hello from {n} my number is +1 555 010 {1000 + k} thanks" for k, n in enumerate(names)]
+    rows += [f"{n} wrote +1 555 020 {1000 + k} rings the office" for k, n in enumerate(names)] + [f"my house is {n} and {n} wrote {n}" for n in names]
+    odd = ["so my number is 0171 555 0199, call", "dial 0171 555 0198 rings the office", "the house is 0171 555 0199", "my number is 12", "my number is 2024-03-01 ok"]
+    out = by_id(pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(rows + odd)), "doc_id long, text string"))))
+    assert [out[len(rows) + k]["spans"] for k in range(5)] == ["phone:16:29", "phone:5:18", "", "", ""]
+
+
 def test_tokens(docs, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     out = by_id(tokencount.count_tokens(docs))
