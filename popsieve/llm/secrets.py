@@ -29,10 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Names of credentials and what may stand between them and a value.
-CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?))["']?\s{0,3}(?:(?:is|was)\b:?|=>|:=|[:=])\s{0,3}(?:Bearer\s)?["'`]?([!-~]{8,200})""")
+CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?))["']?\s{0,3}(?:(?:is|was)\b:?|=>|:=|[:=])\s{0,3}(?:Bearer\s)?["'`]?([!-~]{8,})""")
 CUES = ("pass", "pwd", "secret", "token", "credential", "key", "auth")
 #: Decimal digits of guesses from which a value counts as a secret.
 MIN_COST = 9.0
+#: Characters of a value from which the recurrence checks whether its cost can still fall below MIN_COST.
+STRETCH = 200
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
 #: Common words by rank; a word costs its rank in guesses.
 WORDS = """password admin welcome letmein monkey dragon master login hello secret football shadow sunshine princess
@@ -51,35 +53,52 @@ def brute_force(text: str) -> float:
     return len(text) * math.log10(max(size, 10))
 
 
+def _runs(value: str) -> list[list[int]]:
+    """For units of 1 to 8: from each place, how many characters equal the one a unit further."""
+    out = []
+    for unit in range(1, 9):
+        counts = [0] * (len(value) + 1)
+        for at in range(len(value) - unit - 1, -1, -1):
+            if value[at] == value[at + unit]:
+                counts[at] = counts[at + 1] + 1
+        out.append(counts)
+    return out
+
+
+def _spans_at(value: str, start: int, runs: list[list[int]]):
+    """(start, end, cost) of every word, date, repeat and keyboard walk that starts there; runs are those of _runs()."""
+    near = value[start : start + 32]
+    low = near.lower()
+    plain = low.translate(_LEET)
+    for size in range(2, min(len(near), 12) + 1):
+        rank = _RANK.get(low[:size]) or _RANK.get(plain[:size])
+        if rank:
+            yield start, start + size, math.log10(rank * (1 if near[:size] == low[:size] else 4))
+    date = _DATE.match(value, start)
+    if date:
+        yield start, date.end(), math.log10(365 * 150)
+    for unit in range(1, min(8, (len(value) - start) // 2) + 1):
+        end = start + unit + runs[unit - 1][start] // unit * unit
+        if end > start + unit:
+            yield start, end, brute_force(value[start : start + unit]) + math.log10((end - start) / unit)
+    for walk in WALKS:
+        at = walk.find(low[0])
+        size = 0
+        while at >= 0 and size < len(near) and at + size < len(walk) and walk[at + size] == low[size]:
+            size += 1
+        if size >= 3:
+            yield start, start + size, math.log10(len(WALKS) * 26 * size)
+
+
 def _spans(value: str):
     """(start, end, cost) of every word, date, repeat and keyboard walk in the value."""
-    low = value.lower()
-    plain = low.translate(_LEET)
+    runs = _runs(value)
     for start in range(len(value)):
-        for end in range(start + 2, min(len(value), start + 12) + 1):
-            rank = _RANK.get(low[start:end]) or _RANK.get(plain[start:end])
-            if rank:
-                yield start, end, math.log10(rank * (1 if value[start:end] == low[start:end] else 4))
-        date = _DATE.match(value, start)
-        if date:
-            yield start, date.end(), math.log10(365 * 150)
-        for unit in range(1, min(8, (len(value) - start) // 2) + 1):
-            end = start + unit
-            while value[end : end + unit] == value[start : start + unit]:
-                end += unit
-            if end > start + unit:
-                yield start, end, brute_force(value[start : start + unit]) + math.log10((end - start) / unit)
-        for walk in WALKS:
-            at = walk.find(low[start])
-            end = start
-            while at >= 0 and end < len(value) and at + end - start < len(walk) and walk[at + end - start] == low[end]:
-                end += 1
-            if end - start >= 3:
-                yield start, end, math.log10(len(WALKS) * 26 * (end - start))
+        yield from _spans_at(value, start, runs)
 
 
 def guess_cost(value: str) -> float:
-    """Decimal digits of the guesses that the cheapest segmentation needs; values are at most 200 long."""
+    """Decimal digits of the guesses that the cheapest segmentation needs."""
     n = len(value)
     best = [0.0] + [math.inf] * n
     ending: dict[int, list[tuple[int, float]]] = {}
@@ -93,6 +112,32 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def costly(value: str) -> bool:
+    """guess_cost(value) >= MIN_COST, in time in proportion to the value's length.
+
+    A brute-force span costs a digit for each character at least, so one that can matter is short of MIN_COST characters;
+    and a place that no segmentation reaches below MIN_COST leads nowhere cheaper."""
+    n, reach = len(value), math.ceil(MIN_COST)
+    if n <= STRETCH:
+        return guess_cost(value) >= MIN_COST
+    best, runs = [0.0] + [math.inf] * n, _runs(value)
+    last = 0  # the farthest place reached below MIN_COST
+    for start in range(n):
+        if start > last:
+            return True
+        if best[start] >= MIN_COST:
+            continue
+        for end in range(start + 1, min(n, start + reach) + 1):
+            best[end] = min(best[end], best[start] + brute_force(value[start:end]))
+            if best[end] < MIN_COST:
+                last = max(last, end)
+        for _, end, cost in _spans_at(value, start, runs):
+            best[end] = min(best[end], best[start] + cost)
+            if best[end] < MIN_COST:
+                last = max(last, end)
+    return best[n] >= MIN_COST
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
     out = []
@@ -114,7 +159,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         value = match[1].rstrip("\"'`,;.)]}>")
         start, end = match.start(1), match.start(1) + len(value)
         varied = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value)))
-        if len(value) >= 8 and varied >= 2 and any(c.isdigit() for c in value) and not any(s < end and start < e for s, _, e in base) and guess_cost(value) >= MIN_COST:
+        if len(value) >= 8 and varied >= 2 and any(c.isdigit() for c in value) and not any(s < end and start < e for s, _, e in base) and costly(value):
             out.append((start, 3, end))
     return out
 

@@ -234,3 +234,16 @@ def test_secrets(docs, empty):
     spans = [x.split(":") for x in row["spans"].split(",")]
     assert t[int(spans[-1][1]) : int(spans[-1][2])] == "xK9#mP2$vL5q" and spans[-1][0] == "guess"
     assert secrets.guess_cost("qwerty123456") < secrets.guess_cost("xK9#mP2$vL5q") and secrets.find_secrets(empty).count() == 0
+
+
+def test_secrets_of_any_length():
+    """A long credential is one whole span, and the bounded recurrence agrees with the plain one."""
+    rng = np.random.default_rng(5)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"))
+    for size in (201, 700, 20000):
+        value = "eyJ9" + "".join(rng.choice(signs, size)) + "x"
+        text = f"Authorization: Bearer {value} end"
+        assert secrets.added_spans(text, []) == [(22, 3, 22 + len(value))]
+    for value in ("ab1" * 100, "1" * 300, "password1" * 40, "qwerty123" + "z" * 300, "a1" * 150 + "xK9#mP", "0" * 250 + "aB3$"):
+        assert secrets.costly(value) == (secrets.guess_cost(value) >= secrets.MIN_COST)
+    assert secrets.costly("a1" * 20000 + "xK9#mPq7") == secrets.costly("a1" * 150 + "xK9#mPq7")
