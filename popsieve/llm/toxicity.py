@@ -1,7 +1,7 @@
 """Op 4. Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the average of the vectors of its hashed character n-grams (3 to 5 bytes of "<word>", and the
-whole), a window of WINDOW words the average of its words, and a two-class softmax over it is linear; vectors
+whole; runs without blanks of over LONGEST bytes count as overlapping stretches), a window of WINDOW words the average of its words, and a two-class softmax over it is linear; vectors
 and softmax are trained jointly in numpy on the driver, from a bounded sample of labelled rows. Unseen
 misspellings share most n-grams with the words they come from. Labels mark whole documents, so training
 starts with all windows of a toxic document as toxic and goes on with its highest ones alone. A
@@ -35,12 +35,25 @@ STRIDE = 12
 PER_LABEL = 1500
 WINDOWS_PER_DOC = 80
 THRESHOLD = 0.3
+#: Bytes of the longest word; characters of the stretches of longer ones, and how many two of them share.
+LONGEST, STRETCH, OVERLAP = 64, 16, 6
 #: Steps of each round at least, however small the sample.
 STEPS = 60
 
 
+def split(text: str) -> list[str]:
+    """The words of a text; of a run of over LONGEST bytes, stretches that overlap."""
+    out = []
+    for word in text.lower().split():
+        if len(word) <= LONGEST and len(word.encode()) <= LONGEST:
+            out.append(word)
+        else:
+            out.extend(word[k : k + STRETCH] for k in range(0, max(1, len(word) - OVERLAP), STRETCH - OVERLAP))
+    return out
+
+
 def grams(word: str) -> list[int]:
-    data = b"<" + word.encode()[:64] + b">"
+    data = b"<" + word.encode() + b">"
     crc, n = zlib.crc32, len(data)
     return [crc(data) % BUCKETS, *(crc(data[i : i + k]) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1))]
 
@@ -67,7 +80,7 @@ class Model:
         def score(text: str) -> float:
             if not self.trained:
                 return 0.0
-            words = text.lower().split()
+            words = split(text)
             top = highest(np.fromiter(map(memo, words), np.float64, len(words))) + self.base
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * top + self.shift))))
 
@@ -219,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make():
         def step(batch):
-            found = [[" ".join(w) for w in windows(text.lower().split(), WINDOWS_PER_DOC)] for text in strings(batch)]
+            found = [[" ".join(w) for w in windows(split(text), WINDOWS_PER_DOC)] for text in strings(batch)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "windows"])
 
         return step

@@ -218,6 +218,23 @@ def test_toxicity():
     assert toxicity.fit([]).scorer()("x") == 0.0
 
 
+def test_toxicity_far_into_a_text_without_blanks():
+    rng = np.random.default_rng(2)
+    names = [f"{a}{b}" for a in ("bar", "lin", "mor", "tas", "vel", "dun") for b in ("a", "eth", "or", "un", "ing")]
+    samples = []
+    for k in range(400):
+        words = list(rng.choice(names, 60))
+        if k % 4 == 0:
+            words[10] = words[30] = "idiot"
+        samples.append((toxicity.windows(words, 80), int(k % 4 == 0), 1.0))
+    score = toxicity.fit(samples).scorer()
+    run = "-".join(["barun"] * 60)
+    assert score(run + "-idiot-idiot-idiot-" + run) > 1.5 * score(run + "-barun-barun-barun-" + run)
+    text = "".join(chr(0x4E00 + k) for k in range(500))
+    stretches = toxicity.split(text)
+    assert all(any(text[k : k + toxicity.OVERLAP] in w for w in stretches) for k in range(495)) and toxicity.split("A b\nc") == ["a", "b", "c"]
+
+
 def test_exact_dedup(docs, empty):
     for bits in (exact_dedup.MAX_BITS, exact_dedup.BLOCK):  # a tiny filter lets more on, and changes nothing
         out = by_id(exact_dedup.exact_groups(docs, max_bits=bits))
