@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from .chunks import Memo
 from .common import documents, held_out, id_and_text, map_texts, strings
 
-#: Places of hashed n-grams, numbers in a vector, words in a window and from one window to the next.
+#: Places of hashed n-grams, numbers in a vector, words in a window.
 BUCKETS = 1 << 16
 SIZE = 8
 WINDOW = 24
-STRIDE = 12
 #: The sample: labelled rows of each kind at most (about), and windows of each of them.
 PER_LABEL = 1500
 WINDOWS_PER_DOC = 80
@@ -68,7 +67,8 @@ class Model:
     shift: float
     trained: bool = True
 
-    def scorer(self):
+    def odds(self):
+        """Text -> the log-odds of its highest window."""
         parts = self.parts.tolist()
 
         def word_part(word: str) -> float:
@@ -77,24 +77,30 @@ class Model:
 
         memo = Memo(word_part, 400_000).__getitem__
 
+        def top(text: str) -> float:
+            words = split(text)
+            return highest(np.fromiter(map(memo, words), np.float64, len(words))) + self.base
+
+        return top
+
+    def scorer(self):
+        top = self.odds()
+
         def score(text: str) -> float:
             if not self.trained:
                 return 0.0
-            words = split(text)
-            top = highest(np.fromiter(map(memo, words), np.float64, len(words))) + self.base
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * top + self.shift))))
+            return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * top(text) + self.shift))))
 
         return score
 
 
 def highest(values: np.ndarray) -> float:
-    """The highest average over the windows; a last window shorter than a stride joins no new words."""
+    """The highest average over the windows from every word on."""
     n = len(values)
     if n <= WINDOW:
         return float(values.mean()) if n else 0.0
     sums = np.concatenate(([0.0], np.cumsum(values)))
-    starts = np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-    return float((sums[starts + WINDOW] - sums[starts]).max() / WINDOW)
+    return float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
 
 
 def windows(words: list[str], most: int) -> list[list[str]]:
@@ -106,6 +112,14 @@ def windows(words: list[str], most: int) -> list[list[str]]:
     return [words[s : s + WINDOW] for s in starts]
 
 
+def set_apart(labels: np.ndarray) -> np.ndarray:
+    """Whether a document only calibrates: every fourth of either label."""
+    apart = np.zeros(len(labels), bool)
+    for label in (0, 1):
+        apart[np.flatnonzero(labels == label)[3::4]] = True
+    return apart
+
+
 def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, rounds: int = 3, batch: int = 512, rate: float = 0.05, decay: float = 0.1) -> Model:
     """samples: (windows of a document, label, weight). The weight undoes the sample's share of its label.
 
@@ -128,9 +142,7 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
     gram_flat = np.fromiter((g for gs in gram_lists for g in gs), np.int64, gram_at[-1])
     del gram_lists
     labels = np.array([label for _, label, _ in samples])
-    apart = np.zeros(len(labels), bool)
-    for label in (0, 1):
-        apart[np.flatnonzero(labels == label)[3::4]] = True
+    apart = set_apart(labels)
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE))
     weights, bias = rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, weights, bias)]
@@ -238,7 +250,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return step
 
     found = map_texts(rows, make, "doc_id long, label int, windows array<string>").toArrow().sort_by("doc_id").to_pylist()
-    return fit([([w.split() for w in row["windows"]], row["label"], 1 / share[row["label"]]) for row in found])
+    model = fit([([w.split() for w in row["windows"]], row["label"], 1 / share[row["label"]]) for row in found])
+    apart = set_apart(np.array([row["label"] for row in found]))
+    if not model.trained or len({row["label"] for row, k in zip(found, apart, strict=True) if k}) < 2:
+        return model
+    # once more, on scores of whole texts as predict() has them
+    whole = rows.where(F.col("doc_id").isin([row["doc_id"] for row, k in zip(found, apart, strict=True) if k]))
+
+    def make_tops():
+        top = model.odds()
+
+        def step(batch):
+            return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(map(top, strings(batch)), pa.float64())], ["label", "top"])
+
+        return step
+
+    tops = sorted((r["label"], r["top"]) for r in map_texts(whole, make_tops, "label int, top double").collect())
+    y, x = np.array([label for label, _ in tops]), np.array([top for _, top in tops])
+    model.slope, model.shift = calibrated(x, y, np.array([1 / share[label] for label in y.tolist()]))
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -235,6 +235,11 @@ def test_toxicity_far_into_a_text_without_blanks():
     assert all(any(text[k : k + toxicity.OVERLAP] in w for w in stretches) for k in range(495)) and toxicity.split("A b\nc") == ["a", "b", "c"]
 
 
+def test_toxicity_of_a_passage_wherever_it_stands():
+    values = [np.array([0.0] * k + [1.0] * toxicity.WINDOW + [0.0] * (60 - k)) for k in range(60)]
+    assert all(toxicity.highest(v) == pytest.approx(1.0) for v in values)
+
+
 def test_exact_dedup(docs, empty):
     for bits in (exact_dedup.MAX_BITS, exact_dedup.BLOCK):  # a tiny filter lets more on, and changes nothing
         out = by_id(exact_dedup.exact_groups(docs, max_bits=bits))
