@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import centi_score, intersection, tanimoto, union, within, word_names
+from ..functions.similarity import centi_score, intersection, ones, tanimoto, union, within, word_names
 from ..functions.text import sanitized
-from ..plans.bounds import allowed
+from ..plans.bounds import allowed, may_match
 from .database import Database
 
 #: Rows (query, on-bits) that are broadcast at most; beyond, the join shuffles by on-bits.
@@ -114,6 +114,18 @@ def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upp
     return db.lookup(out) if return_smiles else out
 
 
+def get_sim_compounds_of_rows(db: Database, queries: DataFrame, lower: float = 0.0, upper: float = 1.0) -> DataFrame:
+    """chunk_idx, query_id, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
+
+    Queries are rows (query_id, words w0, w1 ...), as many as there are: they stay distributed."""
+    names = word_names(db.bits)
+    weights = [(q, a) for q in range(db.bits + 1) for a in range(db.bits + 1) if may_match(a, q, db.bits, lower, upper)]
+    grid = F.broadcast(queries.sparkSession.createDataFrame(weights, "ones_q int, onbits int"))
+    side = queries.select("query_id", ones([F.col(n) for n in names]).cast("int").alias("ones_q"), *(F.col(n).alias(q) for n, q in zip(names, word_names(db.bits, "q"), strict=True)))
+    rows = db.fp.join(side.join(grid, "ones_q"), "onbits").withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
+    return _scored(db, rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), ["chunk_idx", "query_id", "position"], False)
+
+
 def get_sim_compounds_multi_query_with_scores(db: Database, queries, lower: float, upper: float, smiles_output_path: str | None) -> DataFrame:
     """Two queries or more; the hits with payload, written to smiles_output_path as TSV files with a header."""
     if np.asarray(queries).ndim != 2 or len(queries) < 2:

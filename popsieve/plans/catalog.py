@@ -15,6 +15,8 @@ from .bounds import may_match
 #: Queries of the multi-query searches: the baskets of customers 0 to 20.
 WANTED = list(range(21))
 ONE = [7]
+#: Queries of the *_every50 searches, which grow with the table.
+EVERY = 50
 
 _BITS = """bits AS (SELECT DISTINCT o_custkey AS k, l_partkey % 128 AS bit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 ones AS (SELECT k, count(*) AS onbits FROM bits GROUP BY k),
@@ -56,6 +58,24 @@ def _one(spark: SparkSession, sf_dir: str, lower: float, upper: float = 1.0) ->
     return search.get_sim_compounds(standins.Database.build(rows, 128), standins.vectors(rows, 128, ONE), lower, upper)
 
 
+def _every(rows: DataFrame, bits: int, lower: float) -> DataFrame:
+    queries = rows.where(F.col("line_no") % EVERY == 0).withColumnRenamed("line_no", "query_id")
+    return search.get_sim_compounds_of_rows(standins.Database.build(rows, bits), queries, lower).select("chunk_idx", "query_id", "position", "inter", "denom", "score")
+
+
+def threshold_every50(spark, sf_dir):
+    return _every(standins.basket(spark, sf_dir), 128, 0.2)
+
+
+def emb64_every50(spark, sf_dir):
+    return _every(standins.signs(spark, sf_dir), 64, 0.4)
+
+
+def payload_every_row(spark, sf_dir):
+    db = standins.basket_db(spark, sf_dir)
+    return db.lookup(db.fp.select("chunk_idx", "position")).select("chunk_idx", "position", "smiles", "compound_id")
+
+
 def fp_build(spark, sf_dir):
     rows = standins.basket(spark, sf_dir)
     halves = []
@@ -245,6 +265,9 @@ QUERIES = {
     "format_guess": format_guess,
     "resume_semi_anti": resume_semi_anti,
     "emb64_threshold": emb64_threshold,
+    "threshold_every50": threshold_every50,
+    "emb64_every50": emb64_every50,
+    "payload_every_row": payload_every_row,
 }
 
 _EMB = """WITH bits AS (SELECT vec_id AS k, label, i - 1 AS bit FROM embeddings CROSS JOIN range(1, 65) r(i) WHERE embedding[i] > 0),
@@ -287,4 +310,7 @@ SELECT ones_q, onbits FROM t WHERE ones_q > 0 AND least(ones_q, onbits) * 10 >=
     "format_guess": "SELECT n_name || e AS path, CASE WHEN lower(e) LIKE '.csv' OR lower(e) LIKE '.csv.gz' THEN 'csv' WHEN lower(e) SIMILAR TO '\\.(tsv|tab)(\\.(gz|bz2|zst))?' THEN 'tsv' ELSE 'smi' END AS format FROM nation CROSS JOIN (SELECT unnest(['.csv', '.CSV.gz', '.tsv.bz2', '.tab.zst', '.csv.bgzf', '.smi', '.tsv']) AS e)",
     "resume_semi_anti": "SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, 'redo' AS kind FROM nation WHERE n_nationkey IN (SELECT s_suppkey % 30 FROM supplier) UNION ALL SELECT DISTINCT s_suppkey % 30, 'missing' FROM supplier WHERE s_suppkey % 30 NOT IN (SELECT n_nationkey FROM nation)",
     "emb64_threshold": f"{_EMB} SELECT chunk_idx, query_idx, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
+    "threshold_every50": f"{_pairs('k % 50 = 0')} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(1, 5)}",
+    "emb64_every50": f"{_EMB.replace('a.k <= 20', 'a.k % 50 = 0')} SELECT chunk_idx, query_idx AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
+    "payload_every_row": f"WITH {_BITS} SELECT chunk_idx, position, c_name AS smiles, c_mktsegment AS compound_id FROM db",
 }
