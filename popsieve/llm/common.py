@@ -39,10 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/popsieve/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that an operator needs for a while.
+
+    An operator that ends with a table of its own drops the rest, so that what it leaves there is what its
+    result reads. Nothing that is still to be computed may read a dropped table.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/popsieve/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove all tables written so far."""
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +118,3 @@ def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return batch.column(name).to_pylist()
 
-
-def sample_rows(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """About the n rows with the least hashed key: a documented, repeatable training sample."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(n)

@@ -16,9 +16,12 @@ unless they overlap a base span: with an `@` (email), with three digits or more
 the length of a phone or card number that is no date. Of overlapping ones the first stays. Base spans stay.
 
 The patterns are written so that Java matches them without recursion or retrying runs, whatever the text's
-length; the tests hold them against the plain ones. Null text counts as empty. Ties between kinds go to
-the kind listed first. Only hashes of (context, value)
-pairs shuffle, made distinct before they do; plain words only where a context has SUPPORT values.
+length; the tests hold them against the plain ones. Null text counts as empty, an empty table gives no rows,
+rows that repeat are scanned each for itself, and no other column is read. Ties between kinds go to
+the kind listed first. Only hashes of (context, value) pairs shuffle, made distinct before they do. Plain words
+are counted (by mergeable sketches, to a few per cent) only in contexts that their other values leave within
+reach of CONFIDENCE; the rest could not be trusted in any round. Texts never shuffle while at most IN_ROW contexts
+are trusted: these are looked up inside the row. Spans are compared pairwise within a text.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import Scratch, documents
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -40,19 +43,22 @@ PATTERNS = {
 }
 #: Cheap signs that a text may have a match.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-LABEL = r"(?<![\p{L}\p{N}])\p{L}[\p{L}_-]{1,30}(?:\x20\p{L}{1,30})?\x20{0,2}[:=#]\x20{0,2}(?=[^\s,;:=#])"
+LABEL = r"(?<![\p{L}\p{N}_-])[_-]*+\p{L}[\p{L}_-]++(?:\x20\p{L}++)?+\x20{0,2}[:=#]\x20{0,2}(?=[^\s,;:=#])"
 #: What follows a label: a run of digits, blanks and punctuation and what hangs on to its last digit, or all up to a blank.
 VALUE = r"^(?:[(+]{0,2}[0-9][0-9().\x20/-]*[0-9][^\s,;]*+|[^\s,;]++)"
 #: Runs of digits, blanks and punctuation, and words with an `@`, wherever they stand.
-CANDIDATE = r"""(?<![\p{L}\p{N}])[(+]{0,2}[0-9](?:[0-9().\x20/-]*[0-9])?(?![\p{L}\p{N}])|(?<![^\s,;<>()\[\]{}"'])[^\s,;<>()\[\]{}"'@]++@[^\s,;<>()\[\]{}"']++"""
+NUMBER = r"(?=[(+0-9])(?<![\p{L}\p{N}])[(+]{0,2}[0-9](?:[0-9().\x20/-]*[0-9])?(?![\p{L}\p{N}])"
+CANDIDATE = NUMBER + r"""|(?<![^\s,;<>()\[\]{}"'])[^\s,;<>()\[\]{}"'@]++@[^\s,;<>()\[\]{}"']++"""
 #: A context of prose is up to so many words beside a value, within so many characters.
 BESIDE, NEAR = 3, 120
 APART = r"[^\p{L}\p{N}@]+"
 #: Digits that make a number in prose look like a phone number or a card; dates don't.
 LOOKS = {"phone": (7, 15), "card": (12, 19)}
 DATE = r"^(?:(?:19|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/. ])[0-9]{1,2}\2(?:19|20)?[0-9]{2})(?![0-9])"
-#: Contexts that are broadcast at most; beyond, the join shuffles.
+#: Contexts that are broadcast at most (8 bytes each, or 50 with counts); beyond, the join shuffles.
 BROADCAST_CONTEXTS = 1_000_000
+#: Trusted contexts that are looked up inside the row at most; beyond, a join by row gives the same spans.
+IN_ROW = 4096
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 BLOCK = 256
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -121,7 +127,8 @@ def trimmed(value: Column) -> Column:
 
 def labelled(text: Column) -> Column:
     """array<struct<label, value, start, end>> of the values after labels, whatever their length."""
-    matches = found(text, LABEL, r"\p{L}\x20{0,2}[:=#]")
+    sign = r"[:=#](?<=\p{L}\x20{0,2}[:=#])"
+    matches = found(text, LABEL, sign)
     tails = F.slice(F.split(text, LABEL, -1), F.lit(2), F.greatest(F.size(matches), F.lit(0)))
 
     def item(m: Column, tail: Column) -> Column:
@@ -131,7 +138,8 @@ def labelled(text: Column) -> Column:
         value = trimmed(F.when(F.length(near) < F.length(tail), near).otherwise(F.regexp_extract(F.substring(text, start + 1, F.length(text)), VALUE, 0)))
         return F.struct(F.lower(F.regexp_replace(m["value"], r"\x20+", " ")).alias("label"), F.lower(value).alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-    return F.filter(F.zip_with(matches, tails, item), lambda s: s["end"] > s["start"])
+    values = F.filter(F.zip_with(matches, tails, item), lambda s: s["end"] > s["start"])
+    return F.when(text.rlike(sign), values).otherwise(F.array().cast("array<struct<label:string,value:string,start:int,end:int>>"))
 
 
 def _with_kind(items: Column, base: Column, text: Column) -> Column:
@@ -193,52 +201,84 @@ def in_prose(text: Column, base: Column) -> Column:
         value = trimmed(F.when(later.isNull(), m["value"]).otherwise(F.substring(m["value"], F.lit(1), later - m["start"])))
         return F.struct(F.lower(value).alias("value"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"), F.lit(-1).alias("kind"))
 
-    free = F.filter(F.transform(found(text, CANDIDATE, "[0-9@]"), item), lambda s: (s["end"] > s["start"]) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    places = F.when(text.contains("@"), found(text, CANDIDATE, "@")).otherwise(found(text, NUMBER, "[0-9]"))
+    free = F.filter(F.transform(places, item), lambda s: (s["end"] > s["start"]) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return F.concat(seeds, free)
 
 
 def plain(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(label, value) of the plain words that stand in the wanted contexts: what speaks against them."""
-    words = texts.select(F.filter(F.split(F.lower("_text"), APART), lambda w: w != "").alias("_words"))
+    """(label, words): how many distinct plain words stand in each of the wanted contexts, to a few per cent.
 
-    def near(w: Column, k: Column) -> Column:
-        left = [F.when(k > n, F.get(F.col("_words"), k - n - 1)) for n in range(BESIDE)]
-        right = [F.get(F.col("_words"), k + n + 1) for n in range(BESIDE)]
-        return F.struct(F.xxhash64(w).alias("value"), w.rlike("[0-9@]").alias("odd"), F.array_compact(F.array(*contexts("left", left), *contexts("right", right))).alias("labels"))
+    Every word of every text is held against the contexts, so this runs on generated code alone: each word with its
+    neighbours is a row, and the counts are mergeable sketches, of which a task shuffles one a context."""
+    words = texts.select(F.array_remove(F.split(F.lower("_text"), APART), "").alias("_w"))
+    pad = F.array_repeat(F.lit(None).cast("string"), BESIDE)
+    words = words.select(F.concat(pad, "_w", pad).alias("_w"))
+    rows = words.select(F.inline(F.arrays_zip(*(F.slice("_w", F.lit(k + 1), F.size("_w")) for k in range(2 * BESIDE + 1)))))
+    rows = rows.toDF(*(f"_{k}" for k in range(2 * BESIDE + 1))).where(F.col(f"_{BESIDE}").isNotNull())
+    left, right = ([F.col(f"_{BESIDE + step * (n + 1)}") for n in range(BESIDE)] for step in (-1, 1))
+    rows = rows.select(F.col(f"_{BESIDE}").alias("_word"), F.explode(F.array(*contexts("left", left), *contexts("right", right))).alias("label"))
+    rows = rows.join(wanted, "label").where(~F.col("_word").rlike("[0-9@]"))
+    return rows.groupBy("label").agg(F.approx_count_distinct("_word").alias("words"))
 
-    rows = words.select(F.explode(F.transform("_words", near)).alias("_")).where("not _.odd").select("_.value", F.explode("_.labels").alias("label"))
-    return rows.join(wanted, "label").select("label", "value").distinct()
 
+def confidence(s: Column, misfits: Column) -> Column:
+    return s / (s + misfits)
 
-def accepted(edges: DataFrame) -> DataFrame:
+
+def within_reach(counts: DataFrame) -> Column:
+    """Whether a context could be trusted in some kind if all its fitting values scored 1; others never will be."""
+    able = F.lit(False)
+    for k in range(len(KINDS)):
+        fits = F.get("fitting", k)
+        able = able | ((fits >= SUPPORT) & (confidence(fits, F.get("misfits", k)) >= CONFIDENCE))
+    return able
+
+
+def weighed(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, misfits array by kind) of the contexts that may come to be trusted; plain words count for those of prose."""
+
+    def by_kind(fits: bool) -> Column:
+        return F.array(*(F.count_if((F.col("fits").bitwiseAND(1 << k) != 0) == F.lit(fits)) for k in range(len(KINDS))))
+
+    counts = edges.groupBy("label").agg(by_kind(True).alias("fitting"), by_kind(False).alias("misfits"), F.max("prose").alias("prose"))
+    counts = scratch.written(counts.where(within_reach(counts)), "pii-contexts")
+    wanted = counts.where("prose").select("label")
+    n = wanted.count()
+    if not n:
+        return counts.select("label", "misfits")
+    words = plain(texts, F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted)
+    counts = counts.join(words, "label", "left").withColumn("misfits", F.transform("misfits", lambda m: m + F.coalesce("words", F.lit(0))))
+    return scratch.written(counts.where(within_reach(counts)).select("label", "misfits"), "pii-weighed")
+
+
+def accepted(edges: DataFrame, misfits: DataFrame, scratch: Scratch) -> DataFrame:
     """(label, kind, confidence) to trust, from distinct rows (label, value, kind, fits): a graph of contexts and values."""
     seeds = edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    misfits = edges.groupBy("label").agg(F.array(*(F.count_if(F.col("fits").bitwiseAND(1 << k) == 0) for k in range(len(KINDS)))).alias("misfits"))
     scores = seeds
     for turn in range(ROUNDS):
         labels = edges.join(scores.withColumnRenamed("kind", "as"), "value").where(F.col("fits").bitwiseAND(bit(F.col("as"))) != 0)
         labels = labels.groupBy("label", F.col("as").alias("kind")).agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).join(misfits, "label")
-        labels = labels.withColumn("confidence", F.col("s") / (F.col("s") + F.get("misfits", F.col("kind"))))
-        labels = written(labels.where(F.col("confidence") >= CONFIDENCE).select("label", "kind", "confidence"), "pii-labels")
+        labels = labels.withColumn("confidence", confidence(F.col("s"), F.get("misfits", F.col("kind"))))
+        labels = scratch.written(labels.where(F.col("confidence") >= CONFIDENCE).select("label", "kind", "confidence"), "pii-labels")
         if turn == ROUNDS - 1:
             break
         fresh = edges.where("kind < 0").select("label", "value", "fits").join(labels, "label").where(F.col("fits").bitwiseAND(bit(F.col("kind"))) != 0)
         fresh = fresh.groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        scores = written(seeds.unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
+        scores = scratch.written(seeds.unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
     return labels
 
 
-def instances(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """The distinct (label, value, kind, fits) of the corpus: those of the items, and the plain words in contexts of prose
-    that have SUPPORT values like an identifier or more; other contexts can't be trusted in any round."""
-    edges = items.groupBy("label", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.max_by("fits", "kind").alias("fits"), F.max("prose").alias("prose"))
-    edges = written(edges, "pii-edges")
-    wanted = written(edges.groupBy("label").agg(F.count_if(F.col("fits") != 0).alias("n"), F.max("prose").alias("prose")).where(F.col("prose") & (F.col("n") >= SUPPORT)).select("label"), "pii-contexts")
-    edges, n = edges.drop("prose"), wanted.count()
-    if not n:
-        return edges
-    words = plain(texts, F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted)
-    return edges.unionByName(written(words.select("label", "value", F.lit(-1).alias("kind"), F.lit(0).alias("fits")), "pii-plain"))
+def trusted_contexts(table: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The accepted contexts of the corpus. Edges are made distinct before they shuffle; only contexts that can
+    be accepted go through the rounds."""
+    items = table.select(F.explode("_items").alias("_")).select("_.*").withColumn("label", F.explode("labels"))
+    edges = items.groupBy("label", "value").agg(F.max("kind").alias("kind"), F.max_by("fits", "kind").alias("fits"), F.max("prose").alias("prose"))
+    edges = scratch.written(edges, "pii-edges")
+    misfits = weighed(edges, texts, scratch)
+    few = F.broadcast(misfits) if misfits.count() <= BROADCAST_CONTEXTS else misfits
+    edges = scratch.written(edges.drop("prose").join(few.select("label"), "label", "left_semi"), "pii-graph")
+    return accepted(edges, misfits, scratch)
 
 
 def apart(spans: Column) -> Column:
@@ -253,27 +293,61 @@ def apart(spans: Column) -> Column:
     return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda done: done["out"])
 
 
+def new_in_row(trusted: list) -> Column:
+    """The new spans of a row's items by trusted contexts (label, kind, confidence) that stand in the plan."""
+
+    def sure(labels: Column, known: dict) -> Column:
+        """The most confident of a kind's contexts; null if there is none."""
+        of = F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+        return F.array_max(F.transform(F.filter(labels, lambda label: label.isin(list(known))), lambda label: F.element_at(of, label)))
+
+    def kind(s: Column) -> Column:
+        """The kind of the most confident context; ties go to the kind listed first."""
+        votes = []
+        for k in range(len(KINDS)):
+            known = {row["label"]: row["confidence"] for row in trusted if row["kind"] == k}
+            if known:
+                votes.append(F.struct(F.when(s["fits"].bitwiseAND(1 << k) != 0, sure(s["labels"], known)).alias("confidence"), F.lit(-k).alias("kind")))
+        best = F.array_max(F.array(*votes))
+        return F.when(best["confidence"].isNotNull(), -best["kind"])
+
+    free = F.filter("_items", lambda s: ~s["over"] & (s["fits"] != 0))
+    of_kind = F.transform(free, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return apart(F.filter(of_kind, lambda s: s["kind"].isNotNull()))
+
+
+def new_by_join(table: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(_row, _new): the same by a join, for any number of trusted contexts."""
+    items = table.select("_row", F.explode(F.filter("_items", lambda s: ~s["over"] & (s["fits"] != 0))).alias("_")).select("_row", "_.*")
+    new = items.select("_row", "start", "end", "fits", F.explode("labels").alias("label")).join(trusted, "label").where(F.col("fits").bitwiseAND(bit(F.col("kind"))) != 0)
+    new = new.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    return new.groupBy("_row").agg(apart(F.collect_list(F.struct("kind", "start", "end"))).alias("_new"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base, spans (arrays of kind number, start, end; by kind, then start) and the columns in `keep`."""
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = rows.select("_text")
     rows = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_items", _with_kind(labelled(F.col("_text")), F.col("base"), F.col("_text"))).withColumn("_prose", in_prose(F.col("_text"), F.col("base"))).withColumn("_row", F.monotonically_increasing_id())
 
     def item(s: Column, prose: bool, labels: Column, over: Column) -> Column:
         fits = fitting(s["kind"], s["value"], F.lit(prose))
-        return F.struct(labels.alias("labels"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), over.alias("over"), fits.alias("fits"), F.lit(prose).alias("prose"))
+        return F.struct(labels.alias("labels"), F.xxhash64(s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), over.alias("over"), fits.alias("fits"), F.lit(prose).alias("prose"))
 
     of_labels = F.transform("_items", lambda s: item(s, False, F.array(F.xxhash64(F.lit("label"), s["label"])), s["over"]))
     of_prose = F.transform("_prose", lambda s: item(s, True, beside(F.col("_text"), s["start"], s["end"]), s["kind"] >= 0))
-    table = written(rows.withColumn("_items", F.concat(of_labels, of_prose)).drop("_text", "_prose"), "pii-spans")
-    items = table.select("_row", F.explode("_items").alias("_")).select("_row", "_.*").withColumn("label", F.explode("labels"))
-    trusted = accepted(instances(items, texts))
-    new = items.where("not over and fits != 0").select("_row", "label", "start", "end", "fits")
-    new = new.join(trusted, "label").where(F.col("fits").bitwiseAND(bit(F.col("kind"))) != 0)
-    new = new.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    new = new.groupBy("_row").agg(apart(F.collect_list(F.struct("kind", "start", "end"))).alias("_new"))
+    table = kept.written(rows.withColumn("_items", F.concat(of_labels, of_prose)).drop("_text", "_prose"), "pii-spans")
+    trusted = trusted_contexts(table, texts, scratch)
+    if trusted.count() <= IN_ROW:
+        known = trusted.orderBy("label", "kind").collect()  # IN_ROW rows at most
+        scratch.drop()
+        new = table.withColumn("_new", new_in_row(known) if known else F.array().cast(SPAN))
+    else:
+        new = table.join(new_by_join(table, kept.written(trusted, "pii-trusted")), "_row", "left")
+        scratch.drop()
     spans = F.array_sort(F.concat("base", F.coalesce("_new", F.array()).cast(SPAN)))
-    return table.join(new, "_row", "left").select("doc_id", *keep, "base", spans.alias("spans"))
+    return new.select("doc_id", *keep, "base", spans.alias("spans"))
 
 
 def spelled(spans: Column) -> Column:
