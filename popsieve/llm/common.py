@@ -21,6 +21,9 @@ from ..session import importable
 #: Arrow batches handed to Python stay below this many bytes (documents of any length fit in memory).
 ARROW_BYTES = 8 << 20
 
+#: Rows from which a group is hot; hot groups that are broadcast at most, and the salts used beyond.
+HOT, BROADCAST_GROUPS, SALTS = 64, 500_000, 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); only a local session may lack it."""
@@ -66,6 +69,23 @@ class Scratch:
         self.paths = []
 
 
+def given_back(rows: DataFrame, groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """`rows` joined to their group's columns; groups are unique by `keys`, which are never null, and `_n` says how many rows each has.
+
+    No task gets a large group's rows: groups of over HOT rows are few next to the rows, and are broadcast. Where
+    even they are over BROADCAST_GROUPS, rows are salted and every group goes to each salt.
+    """
+    hot = scratch.written(groups.where(F.col("_n") > HOT), "hot-groups")
+    count = hot.count()
+    if count > BROADCAST_GROUPS:
+        salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt", "_n")
+    if not count:
+        return rows.join(groups, keys).drop("_n")
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("_n") <= HOT), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(few).drop("_n")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,19 +1,22 @@
-"""Op 9. Exact dedup of texts: a two-pass Bloom filter, and only possible repeats shuffle.
+"""Op 9. Exact dedup of texts: a two-pass Bloom filter, and of the rows only possible repeats shuffle.
 
 Every text is read once: its case-folded (A-Z only) SHA-256 is written beside its id, and all later steps
 read these narrow rows alone. Pass 1 sets, for each hash, `HASHES` cells of a Bloom filter, and keeps the cells that
-at least two rows set (counts are summed before they are shuffled). Pass 2 tests each row: if one of its
+at least two rows set. Building it shuffles cell numbers, HASHES of 8 bytes a row at most (summed
+before they are shuffled), where grouping everything would shuffle ids and hashes of 40 bytes.
+Pass 2 tests each row: if one of its
 cells was set only once, no other row has its text, and it passes straight through. The rest, possible
-repeats, are grouped by hash; partial sums keep a hot text to a row a task, and the join that gives the
-group back to its rows is one that adaptive execution splits where a text is hot.
+repeats, are grouped by hash; partial sums keep a hot text to a row a task, and groups of many rows are
+given back to them by a broadcast, so no task gets a hot text's rows.
 
-The filter has 8 to 16 cells a row up to `max_bits`, so its broadcast bitmap has a proven bound
-(max_bits / 8 bytes); past that it only lets more rows on to the exact step. The result never
+The filter has 8 to 16 cells a row up to `max_bits`, so its broadcast bitmaps have a proven bound
+(HASHES * max_bits / 8 bytes). Past some hundred million rows it fills, and at some thousand million nearly
+every row counts as a possible repeat: then all of them are grouped. The result never
 depends on the filter's size.
 
 Null text counts as empty, and equals an empty text. Of equal texts the row with the largest id stays; a null
 id is less than any other. Rows that repeat an id and text are all counted, and one stays for each such
-row of the largest id.
+row of the largest id. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, written
+from .common import Scratch, documents, given_back, id_and_text
 
 #: Cells a row sets; bits of one stored bitmap (as bitmap_bit_position deals them); the filter's bounds.
 HASHES = 2
@@ -76,12 +79,14 @@ def marked(hashes: DataFrame, bits: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    hashes = written(id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2(fold_case(F.col("text")), 256)).alias("digest")), "hashes")
-    tested = written(marked(hashes, filter_bits(hashes.count(), max_bits)), "tested")
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    hashes = scratch.written(id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2(fold_case(F.col("text")), 256)).alias("digest")), "hashes")
+    tested = kept.written(marked(hashes, filter_bits(hashes.count(), max_bits)), "tested")
+    scratch.drop()
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     again = tested.where("maybe").select("doc_id", "digest")
-    groups = again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = again.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")
+    groups = again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("_n")).withColumn("group_size", F.col("_n"))
+    grouped = given_back(again, kept.written(groups, "exact-groups"), ["digest"], kept).select("doc_id", "keep_id", "group_size", "digest")
     out = alone.unionByName(grouped)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -5,7 +5,7 @@ as the number of its step on an exponential scale (base BASE, so a step is a ten
 truncated minimum. Sketches merge by taking greater registers, and equal registers show likeness.
 
 1. One pass over the texts writes sketch, set size and set digest of every document.
-2. Documents with equal sets are one class, named by its least id; only classes go on.
+2. Documents with equal sets are one class, whatever their number; only classes go on.
 3. Bands of ROWS registers are hashed. In every bucket the least class is the hub, and each other class is
    paired with it: as many pairs as members, however large the bucket. Where the other members lie in
    several components after that, those in different ones are compared and verified in blocks, which give only
@@ -16,8 +16,12 @@ truncated minimum. Sketches merge by taking greater registers, and equal registe
 5. Components of the verified links by large-star and small-star steps.
 
 Two sets at similarity 0.8 share no bucket with probability (1 - 0.8**5)**36 < 1e-6. Null, empty and
-wordless texts have no set and link with nothing. Rows that share an id are one node; a null id links with
-nothing. A hub's members are verified in salted groups of about GROUP, its text going to each.
+wordless texts have no set and link with nothing. Rows that share an id are one document, linked with all that
+any of their texts links with; each row keeps its own set size. A null id links with nothing. An empty table gives
+no rows; other columns are not read. Texts of any length are read whole, in stretches; a set is held in
+one task (8 bytes a shingle). A hub's members are verified in salted groups of about GROUP, its text going to each.
+Joins by set or bucket send no hot one to a single task. The work on a bucket that stays open after HUB_ROUNDS
+grows with the square of its classes, in blocks that are tasks of their own.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_arrow, map_texts, written
+from .common import Scratch, documents, given_back, id_and_text, map_arrow, map_texts
 from .components import components
 from .langid import byte_views
 from .shingles import WORDS, shingle_set
@@ -43,7 +47,9 @@ MARGIN = 12.5
 GROUP = 64
 #: Classes, and shingles, of one bucket that make a block; buckets over LARGE get further hubs before that.
 BLOCK, BLOCK_SHINGLES, LARGE, HUB_ROUNDS = 1024, 2_000_000, 8192, 6
-#: Ids broadcast at most (8 bytes each); beyond, the join shuffles.
+#: Tasks of a stage of block meetings at most.
+MOST_TASKS = 20_000
+#: Ids broadcast at most (8 bytes each, or 40 with a digest); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(1)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -134,14 +140,34 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_texts(rows, make, "hub long, class long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b): the pairs (hub, class) whose full sets reach the threshold. texts: (doc_id, text)."""
-    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    salted = written(pairs.join(degree, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("salts")).alias("salt")), "salted-pairs")
-    ids = written(salted.select(F.explode(F.array("hub", "class")).alias("doc_id")).distinct(), "pair-ids")
-    wanted = written(texts.join(_few(ids), "doc_id", "left_semi"), "pair-texts")
-    members = salted.join(wanted, F.col("class") == F.col("doc_id")).select("hub", "salt", F.lit(1).alias("side"), "class", "text")
-    hubs = salted.select("hub", "salt").distinct().join(wanted, F.col("hub") == F.col("doc_id")).select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("class"), "text")
+def class_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame, words: int, mixed_ids: bool, scratch: Scratch) -> DataFrame:
+    """(class, text) of the wanted classes, from texts (doc_id, text). With mixed_ids, an id may stand for texts of several
+    classes, and a text is taken for the class whose set it has."""
+    ids = scratch.written(classes.join(_few(wanted), "class", "left_semi").select("class", "doc_id", "digest"), "class-ids")
+    found = _few(ids)
+    found = texts.join(found, "doc_id").select("class", "digest", "text")
+    if not mixed_ids:
+        return found.select("class", "text")
+
+    def make():
+        def step(batch):
+            same = [hashlib.blake2b(shingle_set(data, words).tobytes(), digest_size=16).digest() == digest for data, digest in zip(byte_views(batch.column("text")), batch.column("digest").to_pylist(), strict=True)]
+            return batch.select(["class", "text"]).filter(pa.array(same))
+
+        return step
+
+    return map_texts(found, make, "class long, text string").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, fetch, scratch: Scratch, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b): the pairs (hub, class) whose full sets reach the threshold. fetch(wanted) gives (class, text)."""
+    degree = pairs.groupBy("hub").agg(F.count("*").alias("_n")).withColumn("salts", F.ceil(F.col("_n") / GROUP))
+    salted = given_back(pairs, scratch.written(degree, "degrees"), ["hub"], scratch)
+    salted = scratch.written(salted.select("hub", "class", F.pmod(F.xxhash64("class"), F.col("salts")).alias("salt")), "salted-pairs")
+    ids = scratch.written(salted.select(F.explode(F.array("hub", "class")).alias("class")).distinct(), "pair-ids")
+    wanted = scratch.written(fetch(ids), "pair-texts").withColumnRenamed("class", "_of")
+    members = salted.join(wanted, F.col("class") == F.col("_of")).select("hub", "salt", F.lit(1).alias("side"), "class", "text")
+    hubs = salted.select("hub", "salt").distinct().join(wanted, F.col("hub") == F.col("_of")).select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("class"), "text")
     rows = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
 
     def run(batches):
@@ -162,12 +188,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, threshold:
     return map_arrow(rows, run, "a long, b long")
 
 
-def _open_buckets(shared: DataFrame, joined: DataFrame) -> DataFrame:
+def _open_buckets(shared: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets (band, key, class, component, n, hub) that lie in several components; the hub is in an
     outlying one (the main one tends to have the least label)."""
-    rows = shared.join(joined, shared["class"] == joined["node"], "left").select("band", "key", "class", F.coalesce("component", "class").alias("component"))
-    several = rows.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("hub_component"), F.count("*").alias("n"), F.max_by("class", "component").alias("hub")).where("_low != hub_component")
-    return rows.join(several.drop("_low"), ["band", "key"])
+    rows = scratch.written(shared.join(joined, shared["class"] == joined["node"], "left").select("band", "key", "class", F.coalesce("component", "class").alias("component")), "bucket-components")
+    several = rows.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("hub_component"), F.count("*").alias("_n"), F.max_by("class", "component").alias("hub")).where("_low != hub_component")
+    several = scratch.written(several.drop("_low").withColumn("n", F.col("_n")), "several")
+    return scratch.written(given_back(rows, several, ["band", "key"], scratch), "open")
 
 
 def _sketch_matrix(table: pa.Table) -> np.ndarray:
@@ -193,18 +220,24 @@ def _partners(table: pa.Table):
     return of
 
 
-def block_links(rows: DataFrame, sketches: DataFrame, texts: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+def block_links(rows: DataFrame, sketches: DataFrame, fetch, scratch: Scratch, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that join the components of the classes of each open bucket, compared in blocks.
 
-    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once. A first pass on sketches
+    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once, in
+    a task of about one such meeting (small stages would else be run together). A first pass on sketches
     keeps the classes that have someone to be compared with; only their texts are dealt. The second verifies full
     sets where they meet and gives the links that join components, never a block's pairs.
     """
-    side = sketches.select("class", "n_shingles", "sketch")
-    weights = rows.join(side.drop("sketch"), "class").groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = rows.join(side, "class").join(weights, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = blocks.select("band", "key", "class", "component", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
+    rows = scratch.written(rows.select("band", "key", "class", "component").join(sketches.select("class", "n_shingles"), "class"), "block-rows")
+    weights = rows.groupBy("band", "key").agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    weights = scratch.written(weights, "block-weights")
+    meetings = weights.agg(F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    tasks = int(min(MOST_TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), meetings)))
+    blocks = given_back(rows, weights, ["band", "key"], scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = blocks.select("band", "key", "class", "component", "n_shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
+    dealt = dealt.join(sketches.select("class", "sketch"), "class")
     dealt = dealt.select("band", "key", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "class", "component", "n_shingles", "sketch")
+    meeting = ["band", "key", "i", "j"]
 
     def busy(table: pa.Table) -> pa.Table:
         comps, of = table.column("component").to_numpy(), _partners(table)
@@ -229,10 +262,9 @@ def block_links(rows: DataFrame, sketches: DataFrame, texts: DataFrame, words: i
                     comps[comps == comps[other]] = comps[k]
         return pa.table({name: pa.array([link[n] for link in links], pa.int64()) for n, name in enumerate("ab")})
 
-    work = written(dealt.groupBy("band", "key", "i", "j").applyInArrow(busy, dealt.schema), "block-classes")
-    ids = work.select(F.col("class").alias("doc_id")).distinct()
-    wanted = texts.join(_few(written(ids, "block-ids")), "doc_id", "left_semi").withColumnRenamed("doc_id", "class")
-    return work.join(wanted, "class").groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+    work = scratch.written(dealt.repartition(tasks, *meeting).groupBy(*meeting).applyInArrow(busy, dealt.schema), "block-classes")
+    texts = scratch.written(fetch(scratch.written(work.select("class").distinct(), "block-ids")), "block-texts")
+    return work.join(texts, "class").repartition(tasks, *meeting).groupBy(*meeting).applyInArrow(compare, "a long, b long")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -242,36 +274,57 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles (of `words` words), component_id, kept."""
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
-    sketches = written(sketched(texts, words), "sketches")
+    sketches = scratch.written(sketched(texts, words), "sketches")
     with_set = sketches.where("n_shingles > 0 and doc_id is not null")
-    least = with_set.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    members = written(sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(least, "digest", "left").select("doc_id", "n_shingles", "class"), "members")
-    reps = members.where("doc_id = class").select(F.col("class").alias("doc_id")).distinct()
-    classes = written(with_set.join(reps, "doc_id").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("_")).select(F.col("_.doc_id").alias("class"), "_.n_shingles", "_.sketch"), "classes")
+    # the documents of a class are equal sets, so any one's sketch is the class's
+    classes = with_set.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("_"), F.count("*").alias("_n"))
+    classes = scratch.written(classes.select("digest", "_n", "_.*", F.monotonically_increasing_id().alias("class")), "classes")
+    mixed = scratch.written(with_set.groupBy("doc_id").agg(F.min("digest").alias("_low"), F.max("digest").alias("_high")).where("_low != _high").select("doc_id"), "mixed-ids")
+    mixed_ids = bool(mixed.limit(1).count())
 
-    bands = banded(classes)
-    buckets = bands.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    shared = written(bands.join(buckets, ["band", "key"]), "buckets")
-    tried = written(shared.where("class != hub").select("hub", "class").distinct(), "pairs")
-    links = written(verified(written(likely(tried, classes), "likely-pairs"), texts, words), "links")
-    joined = components(links)
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return class_texts(wanted, classes, texts, words, mixed_ids, scratch)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return scratch.written(verified(scratch.written(likely(pairs, classes), "likely-pairs"), fetch, scratch, words), "links")
 
-    open_ = written(_open_buckets(shared.where("class != hub").select("band", "key", "class"), joined), "open")
+    bands = banded(classes)
+    buckets = bands.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("_n")).where("_n > 1")
+    shared = scratch.written(given_back(bands, scratch.written(buckets, "hubs"), ["band", "key"], scratch).where("class != hub"), "buckets")
+    tried = scratch.written(shared.select("hub", "class").distinct(), "pairs")
+    links = checked(tried)
+    if mixed_ids:
+        own = with_set.join(_few(mixed), "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
+        first = own.groupBy("doc_id").agg(F.min("class").alias("b"))
+        links = links.union(scratch.written(own.join(first, "doc_id").where("class != b").select(F.col("class").alias("a"), "b"), "links"))
+    joined = components(links, scratch)
+
+    open_ = _open_buckets(shared.select("band", "key", "class"), joined, scratch)
     for _ in range(HUB_ROUNDS):
         if not open_.where(F.col("n") > LARGE).limit(1).count():
             break
         pairs = open_.where("component != hub_component").select(F.least("hub", "class").alias("hub"), F.greatest("hub", "class").alias("class")).distinct().join(tried, ["hub", "class"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = scratch.written(pairs, "pairs")
         tried = tried.union(pairs)
-        links = links.union(written(verified(written(likely(pairs, classes), "likely-pairs"), texts, words), "links"))
-        joined = components(links)
-        open_ = written(_open_buckets(open_.where("class != hub").select("band", "key", "class"), joined), "open")
+        links = links.union(checked(pairs))
+        joined = components(links, scratch)
+        open_ = _open_buckets(open_.where("class != hub").select("band", "key", "class"), joined, scratch)
     if open_.limit(1).count():
-        found = written(block_links(open_, classes, texts, words), "links")
+        found = scratch.written(block_links(open_, classes, fetch, scratch, words), "links")
         if found.limit(1).count():
-            joined = components(links.union(found))
-    out = members.join(joined, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+            joined = components(links.union(found), scratch)
+    # of every class its component's least id, given back to the documents
+    named = classes.join(joined, F.col("class") == F.col("node"), "left").select("digest", "_n", "doc_id", F.coalesce("component", "class").alias("component"))
+    named = scratch.written(named, "class-components")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
+    named = given_back(named.withColumnRenamed("_n", "_size"), scratch.written(least, "least-ids"), ["component"], scratch)
+    named = scratch.written(named.select("digest", F.col("_size").alias("_n"), "component_id"), "class-ids")
+    rows = given_back(with_set.select("doc_id", "n_shingles", "digest"), named, ["digest"], scratch).select("doc_id", "n_shingles", "component_id")
+    alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = kept.written(rows.unionByName(alone), "near-groups")
+    scratch.drop()
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -80,6 +80,30 @@ def test_near_dedup_of_a_cloud_of_copies(spark, monkeypatch, words):
     assert {k: r["component_id"] for k, r in by_id(minhash.near_groups(docs, words=words)).items()} == dict(enumerate(component))
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Rows that share an id are one document; hot buckets, sets and hubs give the same, broadcast or salted."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    for rows, least in (([(1, a), (1, b), (2, a + " z"), (3, b + " z")], 1), ([(5, a), (5, b), (3, b), (7, a + " z")], 3)):
+        out = minhash.near_groups(spark.createDataFrame([*rows, (9, "alone"), (None, a)], "doc_id long, text string"), words=4).collect()
+        assert {r["component_id"] for r in out if r["doc_id"] not in (9, None)} == {least} and len(out) == 6
+        assert {(r["doc_id"], r["kept"]) for r in out if r["component_id"] == r["doc_id"]} == {(least, True), (9, True), (None, True)}
+
+
+def test_groups_given_back_alike(spark, monkeypatch):
+    """Hot groups by broadcast or by salts: the join that a plain one gives."""
+    from popsieve.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)], "g long, k long")
+    groups = rows.groupBy("g").count().withColumnRenamed("count", "_n").withColumn("size", common.F.col("_n"))
+    plain = sorted(map(tuple, rows.join(groups.drop("_n"), "g").collect()))
+    for hot, most in ((64, 500), (10_000, 500), (20, 0)):
+        monkeypatch.setattr(common, "HOT", hot)
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", most)
+        scratch = common.Scratch(spark)
+        assert sorted(map(tuple, common.given_back(rows, groups, ["g"], scratch).collect())) == plain
+        scratch.drop()
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
