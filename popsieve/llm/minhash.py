@@ -47,8 +47,8 @@ MARGIN = 12.5
 GROUP = 64
 #: Classes, and shingles, of one bucket that make a block; buckets over LARGE get further hubs before that.
 BLOCK, BLOCK_SHINGLES, LARGE, HUB_ROUNDS = 1024, 2_000_000, 8192, 6
-#: Tasks of a stage of block meetings at most.
-MOST_TASKS = 20_000
+#: Pairs of classes that a task compares by sketch (about), and tasks of a stage at most.
+TASK_PAIRS, MOST_TASKS = 250_000, 20_000
 #: Ids broadcast at most (8 bytes each, or 40 with a digest); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(1)
@@ -89,13 +89,13 @@ def log_likelihood(similarity: np.ndarray, more: np.ndarray, fewer: np.ndarray,
 
 
 def plausible(more, fewer, n_a, n_b, threshold: int = THRESHOLD) -> np.ndarray:
-    """Whether the pair may reach the threshold, by a likelihood ratio over all lower similarities."""
+    """Whether the pair may reach the threshold, by a likelihood ratio over lower similarities (in steps, which can only let more on)."""
     more, fewer, n_a, n_b = (np.asarray(x, np.float64) for x in (more, fewer, n_a, n_b))
     fits = 100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)
     bound = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
     at = log_likelihood(np.minimum(threshold / 100, bound), more, fewer, n_a, n_b)
     best = np.full(len(more), -np.inf)
-    for s in np.arange(0, threshold / 100, 0.02):
+    for s in np.arange(0, threshold / 100 - 0.01, 0.1):
         best = np.maximum(best, log_likelihood(np.minimum(s, bound), more, fewer, n_a, n_b))
     return fits & (at >= best - MARGIN)
 
@@ -140,6 +140,13 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_texts(rows, make, "hub long, class long")
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """Numbers that two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+
 def class_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame, words: int, mixed_ids: bool, scratch: Scratch) -> DataFrame:
     """(class, text) of the wanted classes, from texts (doc_id, text). With mixed_ids, an id may stand for texts of several
     classes, and a text is taken for the class whose set it has."""
@@ -179,7 +186,7 @@ def verified(pairs: DataFrame, fetch, scratch: Scratch, words: int = WORDS, thre
                 if side == 0:
                     hub, full = (of, salt), found
                 elif hub == (of, salt):
-                    both = len(np.intersect1d(full, found, assume_unique=True))
+                    both = in_both(full, found)
                     if both and 100 * both >= threshold * (len(full) + len(found) - both):
                         links.append((other, of))
             if links:
@@ -202,14 +209,14 @@ def _sketch_matrix(table: pa.Table) -> np.ndarray:
 
 
 def _partners(table: pa.Table):
-    """A function k -> rows of this block to compare with row k: in another component, first sharing a bucket in this
-    band, and likely by their sketches. It reads the components anew each time."""
+    """A function k, comps, some -> rows of this block to compare with row k: among some (a mask), in another component,
+    first sharing a bucket in this band, and likely by their sketches. It reads the components anew each time."""
     band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
     sketch = _sketch_matrix(table)
     classes, owns, sizes = (table.column(c).to_numpy() for c in ("class", "own", "n_shingles"))
 
-    def of(k: int, comps: np.ndarray) -> np.ndarray:
-        others = np.flatnonzero((comps != comps[k]) & ((classes > classes[k]) if same else (owns > owns[k])))
+    def of(k: int, comps: np.ndarray, some: np.ndarray | bool = True) -> np.ndarray:
+        others = np.flatnonzero(some & (comps != comps[k]) & ((classes > classes[k]) if same else (owns > owns[k])))
         if not len(others):
             return others
         equal = (sketch[others] == sketch[k]).reshape(-1, BANDS, ROWS).all(2)
@@ -223,16 +230,16 @@ def _partners(table: pa.Table):
 def block_links(rows: DataFrame, sketches: DataFrame, fetch, scratch: Scratch, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that join the components of the classes of each open bucket, compared in blocks.
 
-    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once, in
-    a task of about one such meeting (small stages would else be run together). A first pass on sketches
+    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once. A task
+    gets about TASK_PAIRS pairs; as rows are few, adaptive execution would else run all in a handful of tasks. A first pass on sketches
     keeps the classes that have someone to be compared with; only their texts are dealt. The second verifies full
     sets where they meet and gives the links that join components, never a block's pairs.
     """
     rows = scratch.written(rows.select("band", "key", "class", "component").join(sketches.select("class", "n_shingles"), "class"), "block-rows")
     weights = rows.groupBy("band", "key").agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     weights = scratch.written(weights, "block-weights")
-    meetings = weights.agg(F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2)).first()[0] or 0
-    tasks = int(min(MOST_TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), meetings)))
+    pairs = weights.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0
+    tasks = int(min(MOST_TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS)))
     blocks = given_back(rows, weights, ["band", "key"], scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = blocks.select("band", "key", "class", "component", "n_shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
     dealt = dealt.join(sketches.select("class", "sketch"), "class")
@@ -243,7 +250,7 @@ def block_links(rows: DataFrame, sketches: DataFrame, fetch, scratch: Scratch, w
         comps, of = table.column("component").to_numpy(), _partners(table)
         wanted = np.zeros(len(comps), bool)
         for k in range(len(comps)):
-            others = of(k, comps)
+            others = of(k, comps, ~wanted if wanted[k] else True)  # who is wanted already needn't be found again
             wanted[others] = True
             wanted[k] |= bool(len(others))
         return table.filter(pa.array(wanted))
@@ -256,7 +263,7 @@ def block_links(rows: DataFrame, sketches: DataFrame, fetch, scratch: Scratch, w
             for other in of(k, comps):
                 if comps[other] == comps[k]:
                     continue
-                both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
+                both = in_both(sets[k], sets[other])
                 if both and 100 * both >= threshold * (len(sets[k]) + len(sets[other]) - both):
                     links.append((classes[other], classes[k]))
                     comps[comps == comps[other]] = comps[k]
