@@ -8,8 +8,9 @@ starts with all windows of a toxic document as toxic and goes on with its highes
 document's score is its highest window's, calibrated on the training documents to the labels' rate.
 
 Since the model is linear, a word's part in any window is one number, memoised by word; whole texts are
-scored in one pass. Null counts as empty; an empty text scores as the empty window does. Without labels of both
-kinds every score is 0. Rows repeated in `labels` count as toxic if any of them does.
+scored in one pass, whatever their length. Null counts as empty; an empty text scores as a window of no words
+does. Without labelled texts of both kinds that have words every score is 0. Rows repeated in `labels` count as toxic
+if any of them does; repeated documents score alike. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -131,18 +132,20 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
     number: dict[str, int] = {}
     flat, sizes, owner = [], [], []
     for doc, (parts, _, _) in enumerate(samples):
-        for words in parts:
+        for words in filter(None, parts):
             flat.extend(number.setdefault(w, len(number)) for w in words)
             sizes.append(len(words))
             owner.append(doc)
-    flat, sizes, owner = np.array(flat, np.int64), np.array(sizes), np.array(owner)
+    flat, sizes, owner = (np.array(x, np.int64) for x in (flat, sizes, owner))
+    labels = np.array([label for _, label, _ in samples])
+    apart = set_apart(labels)
+    if len(set(labels[owner][~apart[owner]])) < 2:
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0, trained=False)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     gram_lists = [grams(w) for w in number]
     gram_at = np.concatenate(([0], np.cumsum([len(g) for g in gram_lists])))
     gram_flat = np.fromiter((g for gs in gram_lists for g in gs), np.int64, gram_at[-1])
     del gram_lists
-    labels = np.array([label for _, label, _ in samples])
-    apart = set_apart(labels)
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE))
     weights, bias = rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, weights, bias)]
@@ -189,7 +192,7 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
         word = np.add.reduceat(part[gram_flat], gram_at[:-1]) / np.diff(gram_at)
         return np.add.reduceat(word[flat], starts[:-1]) / sizes + base
 
-    usable = (sizes > 0) & ~apart[owner]
+    usable = ~apart[owner]
     pool = np.flatnonzero(usable)
     for turn in range(rounds):
         if turn:  # of a toxic document, go on with its highest windows, at last the very highest
@@ -208,7 +211,8 @@ def fit(samples: list[tuple[list[list[str]], int, float]], epochs: int = 3, roun
     part, base = parts()
     word = np.add.reduceat(part[gram_flat], gram_at[:-1]) / np.diff(gram_at)
     tops = np.full(len(samples), -np.inf)
-    np.maximum.at(tops, owner, np.where(sizes > 0, np.add.reduceat(word[np.append(flat, 0)], starts[:-1]) / np.maximum(1, sizes), 0.0) + base)
+    np.maximum.at(tops, owner, np.add.reduceat(word[flat], starts[:-1]) / sizes + base)
+    tops[np.isinf(tops)] = base  # no words
     fresh = apart if len(set(labels[apart])) == 2 else ~apart | apart
     slope, shift = calibrated(tops[fresh], labels[fresh], np.array([w for _, _, w in samples])[fresh])
     return Model(part, base, slope, shift)
