@@ -6,12 +6,18 @@ Nyström landmarks, trains one-versus-rest kernel ridge regression on the driver
 (DIM / 8 bytes a row). Whole texts are scored in blocks by two matrix products: block x landmarks,
 then landmarks x languages.
 
+The places would fill up with a long text's n-grams, so a text is scored in stretches of about STRETCH bytes, each a
+kernel row of its own, and its score is their average by length. A training row is one stretch of its text,
+picked by hashed id.
+
 A text that is null or has no letter is `und` with score 0, and so is every text when no row is labelled. Ties
-between languages go to the first in order of code. No shuffle of texts; repeated rows score alike.
+between languages go to the first in order of code. No shuffle of texts; repeated rows score alike. An empty table
+gives no rows; other columns are not read unless asked for.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,20 +35,27 @@ LANDMARKS = 128
 RIDGE = 1e-2
 UNKNOWN = "und"
 BLOCK = 64
+#: Bytes of a stretch (about): texts up to half as long again are one.
+STRETCH = 8192
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPREAD = (np.uint32(2654435769), np.uint32(2246822519), np.uint32(3266489917))
 
 
-def presence(data: np.ndarray, row: np.ndarray, step: int = 1 << 20) -> None:
-    """Set in `row` the places of the n-grams of these bytes, a stretch at a time."""
-    for start in range(0, len(data), step):
-        part = _LOWER[data[start : start + step + GRAMS[-1] - 1]].astype(np.uint32)
-        code = part
-        for n, spread in zip(GRAMS, _SPREAD, strict=True):
-            if n > 1:
-                code = (code[:-1] << np.uint32(8)) | part[n - 1 :]
-            row[((code + np.uint32(n)) * spread) >> np.uint32(32 - 14)] = 1
+def presence(data: np.ndarray, row: np.ndarray) -> None:
+    """Set in `row` the places of the n-grams of these bytes."""
+    part = _LOWER[data].astype(np.uint32)
+    code = part
+    for n, spread in zip(GRAMS, _SPREAD, strict=True):
+        if n > 1:
+            code = (code[:-1] << np.uint32(8)) | part[n - 1 :]
+        row[((code + np.uint32(n)) * spread) >> np.uint32(32 - 14)] = 1
+
+
+def stretches(data: np.ndarray) -> list[np.ndarray]:
+    """The text in parts of like length; together they have all its bytes."""
+    n = max(1, round(len(data) / STRETCH))
+    return [data[k * len(data) // n : (k + 1) * len(data) // n] for k in range(n)]
 
 
 def byte_views(column: pa.Array) -> list[np.ndarray]:
@@ -71,6 +84,13 @@ class Model:
         weights = self.weights.astype(np.float32)
 
         def scores(texts: list[np.ndarray]) -> np.ndarray:
+            parts = [stretches(data) for data in texts]
+            flat, firsts = [x for own in parts for x in own], np.cumsum([0, *map(len, parts)])[:-1]
+            found = of_stretches(flat)
+            weights = np.array([max(1, len(x)) for x in flat], np.float64)
+            return np.add.reduceat(found * weights[:, None], firsts) / np.add.reduceat(weights, firsts)[:, None]
+
+        def of_stretches(texts: list[np.ndarray]) -> np.ndarray:
             out = []
             for start in range(0, len(texts), BLOCK):
                 part = texts[start : start + BLOCK]
@@ -119,9 +139,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def make():
         def step(batch):
             packed = []
-            for data in byte_views(batch.column("text")):
-                row = np.zeros(DIM, np.uint8)
-                presence(data, row)
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), byte_views(batch.column("text")), strict=True):
+                row, parts = np.zeros(DIM, np.uint8), stretches(data)
+                presence(parts[zlib.crc32(str(doc_id).encode()) % len(parts)], row)
                 packed.append(np.packbits(row).tobytes())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang").cast(pa.string()), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
@@ -134,8 +154,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (and the columns in `keep`) of every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *keep)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *(c for c in keep if c != text_col))
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
     def make():
         scores = model.scorer()
@@ -149,7 +169,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score = [float(min(1.0, max(0.0, row[k]))) if ok else 0.0 for row, k, ok in zip(found, best, letter, strict=True)]
             else:
                 lang, score = [UNKNOWN] * len(letter), [0.0] * len(letter)
-            return pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column("_text" if c == text_col else c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
 
         return step
 

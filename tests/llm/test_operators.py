@@ -227,6 +227,62 @@ def test_language(spark, empty):
     assert {out[k]["lang_pred"] for k in (1000, 1001, 1002)} == {"und"} and langid.identify(empty).count() == 0
 
 
+def test_language_of_very_long_texts(spark):
+    """Odd characters don't drown a long text's language, and texts of many stretches go by all of them."""
+    en, de = "the quick brown fox jumps over the lazy dogs and runs away ", "der schnelle braune fuchs springt über den faulen hund und schläft "
+    rows = [(k, f"{(en, de)[k % 2]} {k}", ("en", "de")[k % 2]) for k in range(120)]
+    odd = "".join(chr(0x3400 + k) for k in range(5000))
+    rows += [(1001, en * 400 + odd, None), (1002, de * 400 + odd, None), (1003, de * 20 + en * 3000, None), (1004, en * 20 + de * 3000, None), (1005, de * 3000, None), (1005, de * 3000, None)]
+    found = langid.identify(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, score int")).where("doc_id > 1000").collect()
+    assert {(r["doc_id"], r["lang_pred"]) for r in found} == {(1001, "en"), (1002, "de"), (1003, "en"), (1004, "de"), (1005, "de")} and len(found) == 6
+
+
+def test_language_against_a_plain_kernel():
+    """Nystrom features on all rows as landmarks are the kernel itself; predictions are those of plain ridge regression."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice([f"{a}{b}" for a in "abcdef" for b in "xyz"] if k % 2 else [f"{a}{b}" for a in "uvwxyz" for b in "abc"], 30)).encode() for k in range(40)]
+    sets = [{t[i : i + n] for n in langid.GRAMS for i in range(len(t) - n + 1)} for t in texts]
+    bits = []
+    for t in texts:
+        row = np.zeros(langid.DIM, np.uint8)
+        langid.presence(np.frombuffer(t, np.uint8), row)
+        bits.append(np.packbits(row))
+    model = langid.fit(np.stack(bits), ["de" if k % 2 else "en" for k in range(40)], landmarks=40)
+    plain = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[k % 2, 1 - k % 2] for k in range(40)], float)
+    centre = np.eye(40) - 1 / 40
+    alpha = np.linalg.solve(centre @ plain @ centre + langid.RIDGE * 40 / 100 * np.eye(40), centre @ y)
+    exact = centre @ plain @ centre @ alpha + y.mean(0)
+    found = model.scorer()([np.frombuffer(t, np.uint8) for t in texts])
+    assert np.abs(found - exact).max() < 0.05 and (found.argmax(1) == y.argmax(1)).all()
+
+
+def test_toxicity_of_tables(spark, empty):
+    """Empty and null texts among the labelled, held-out rows, one label alone, no label, repeats, clashing names."""
+    bad = " ".join(["you idiot"] * 3)
+    rows = [(k, f"w{k} calm words here {bad if k % 4 == 1 else 'again'}") for k in range(200)] + [(500, ""), (501, None), (502, " "), (None, bad), (7, "w7 calm words"), (7, "w7 calm words")]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, predicted string")
+    marks = [(k, int(k % 4 == 1)) for k in range(200)] + [(500, 0), (501, 1), (502, 0), (3, 0), (3, 0), (None, 1)]
+    table = spark.createDataFrame([(k, y, k) for k, y in marks], "doc_id long, toxic int, text long")
+    out = toxicity.predict(docs, toxicity.train(docs, table)).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out)
+    good = [r["predicted"] == (1 if r["doc_id"] is None else int(r["doc_id"] % 4 == 1)) for r in out if r["doc_id"] is None or (r["doc_id"] < 200 and r["doc_id"] != 7)]
+    assert np.mean(good) > 0.95 and len({r["score"] for r in out if r["doc_id"] == 7 and r["score"] is not None}) <= 2
+    assert len({r["score"] for r in out if r["doc_id"] in (500, 501, 502)}) == 1
+    blank = docs.where("doc_id >= 500")
+    for d, t in ((docs, table.where("toxic = 0")), (docs, table.where("1 = 0")), (blank, table), (docs.where("1 = 0"), table), (docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), table)):
+        assert {r["score"] for r in toxicity.predict(docs, toxicity.train(d, t)).collect()} == {0.0}
+    assert toxicity.predict(empty, toxicity.fit([])).count() == 0
+
+
+@pytest.mark.parametrize("last", [[[]], []])
+def test_toxicity_trains_past_empty_texts(last):
+    samples = [([["calm", f"w{k}"] if k % 2 else ["idiot", f"w{k}"]], 1 - k % 2, 1.0) for k in range(40)]
+    score = toxicity.fit([*samples, (last, 0, 1.0)]).scorer()
+    assert score("idiot") > score("calm") and 0 <= score("") <= 1
+    assert not toxicity.fit([(last, 0, 1.0), (last, 1, 1.0)]).trained
+
+
 def test_toxicity():
     rng = np.random.default_rng(1)
     names = [f"{a}{b}" for a in ("bar", "lin", "mor", "tas", "vel", "dun") for b in ("a", "eth", "or", "un", "ing")]
