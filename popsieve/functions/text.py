@@ -43,15 +43,15 @@ def sanitized(text: Column) -> Column:
     return F.translate(text, "\t\r\n", "   ")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+
+
 def sanitized_id(text: Column) -> Column:
-    return sanitized(F.trim(text))
+    return sanitized(stripped(text))
 
 
 def generated_id(chunk_id: Column, line_no: Column, prefix: str = "mol") -> Column:
     """<prefix>_<chunk>_<line>; lines count from 1, blanks and headers included."""
     return F.concat_ws("_", F.lit(prefix), chunk_id.cast("string"), line_no.cast("string"))
-
-
-def without_stereo(smiles: Column) -> Column:
-    """Stereo marks removed at text level; not canonical (see chemistry.py)."""
-    return F.regexp_replace(F.regexp_replace(smiles, r"\[(C|c)@{1,2}H?\]", "$1"), r"@|/|\\", "")

@@ -67,7 +67,7 @@ def enamine(lines: DataFrame, make=backend) -> DataFrame:
 
 def _headed(lines: DataFrame, sniff):
     """What sniff() says of the first nonblank line of a chunk's file, and that line's number."""
-    row = lines.where(F.trim("line") != "").orderBy("line_no").select("line", "line_no").first()
+    row = lines.where(text.stripped(F.col("line")) != "").orderBy("line_no").select("line", "line_no").first()
     if row is None:
         raise ValueError("the file has no lines")
     return *sniff(row["line"]), row["line_no"]
@@ -75,8 +75,8 @@ def _headed(lines: DataFrame, sniff):
 
 def normalize_smi(lines: DataFrame, options: Options = Options(), make=backend) -> DataFrame:
     """SMILES, perhaps an |extension|, perhaps a name; a row without name gets a generated id."""
-    trimmed = lines.withColumn("_line", F.trim("line")).where("_line != ''")
-    rest = F.trim(F.regexp_replace(F.regexp_extract("_line", r"^\S+\s+(.*)$", 1), r"^\|[^|]*\|", ""))
+    trimmed = lines.withColumn("_line", text.stripped(F.col("line"))).where("_line != ''")
+    rest = text.stripped(F.regexp_replace(F.regexp_extract("_line", r"^\S+\s+(.*)$", 1), r"^\|[^|]*\|", ""))
     rows = trimmed.select("chunk_id", "line_no", F.regexp_extract("_line", r"^(\S+)", 1).alias("smiles"), rest.alias("_name"))
     rows = with_canonical(rows, make).where("canonical is not null")
     return rows.select("chunk_id", "line_no", F.col("canonical").alias("smiles"), _named(rows, F.col("_name"), options).alias("compound_id"))
@@ -89,19 +89,29 @@ def _named(rows: DataFrame, name, options: Options):
 
 def normalize_delimited(lines: DataFrame, delimiter: str, options: Options = Options(), make=backend) -> DataFrame:
     """chunk_id, line_no, smiles, compound_id of one file's lines; short or malformed rows and empty SMILES go."""
-    first = lines.where(F.trim("line") != "").orderBy("line_no").select("line", "line_no").first()
+    first = lines.where(text.stripped(F.col("line")) != "").orderBy("line_no").select("line", "line_no").first()
     if first is None:
         raise ValueError("the file has no lines")
     fields = parse_fields(first["line"].removeprefix("﻿"), delimiter) or []
     header = has_header(fields, options)
     smiles, compound = resolve(fields, header, options)
-    rows = with_fields(lines.where(F.col("line_no") > first["line_no"]) if header else lines.where(F.trim("line") != ""), delimiter)
+    rows = with_fields(lines.where(F.col("line_no") > first["line_no"]) if header else lines.where(text.stripped(F.col("line")) != ""), delimiter)
     name = F.lit("") if compound is None else F.get("fields", compound)
-    rows = rows.where(F.size("fields") > max(smiles, -1 if compound is None else compound)).select("chunk_id", "line_no", F.trim(F.get("fields", smiles)).alias("smiles"), F.trim(name).alias("_name")).where("smiles != ''")
+    if not header and options.compound_id.explicit and options.compound_id.index is not None and compound >= len(fields):
+        raise ValueError(f"id column {compound} is out of range for a data row")
+    if not header and smiles >= len(fields):
+        raise ValueError(f"SMILES column {smiles} is out of range for a data row")
+    rows = rows.where(F.size("fields") > max(smiles, -1 if compound is None else compound)).select("chunk_id", "line_no", text.stripped(F.get("fields", smiles)).alias("smiles"), text.stripped(name).alias("_name")).where("smiles != ''")
     rows = with_canonical(rows, make).where("canonical is not null")
     return rows.select("chunk_id", "line_no", F.col("canonical").alias("smiles"), _named(rows, F.col("_name"), options).alias("compound_id"))
 
 
+def totals(before: DataFrame, written: DataFrame) -> DataFrame:
+    """One row (read, kept): the totals of a download run over all chunks."""
+    both = before.select(F.lit(1).cast("long").alias("read"), F.lit(0).cast("long").alias("kept")).union(written.select(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    return both.agg(F.coalesce(F.sum("read"), F.lit(0)).alias("read"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+
+
 def counters(before: DataFrame, valid: DataFrame, written: DataFrame) -> DataFrame:
     """chunk_id, read, written, skipped (invalid), duplicates (later copies)."""
     a = before.groupBy("chunk_id").agg(F.count("*").alias("read"))

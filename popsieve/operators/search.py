@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.similarity import centi_score, intersection, ones, tanimoto, union, within, word_names
 from ..functions.text import sanitized
 from ..plans.bounds import allowed, may_match
-from .database import Database
+from .database import BROADCAST_PARTS, Database, few
 
-#: Rows (query, on-bits) that are broadcast at most; beyond, the join shuffles by on-bits.
-BROADCAST_ROWS = 4_000_000
+#: Bytes of (query, on-bits) rows that are broadcast at once; more queries go in several broadcasts.
+BROADCAST_BYTES = 64 << 20
+#: Distributed queries from which their join is salted, and the salts.
+SALTED_QUERIES, SALTS = 100_000, 16
 
 
 def packed(queries, bits: int) -> tuple[list[list[int]], list[int]]:
@@ -60,6 +62,18 @@ def get_sim_scores(db: Database, query) -> DataFrame:
     return db.fp.select("chunk_idx", "position", centi_score(inter, union(inter, F.col("onbits"), F.lit(ones_q[0]))).alias("score"))
 
 
+def global_scores(db: Database, query) -> DataFrame:
+    """(gid, score) of every row: a full scan in the database's global numbering."""
+    parts = few(db.catalog.select("chunk_idx", "start"), BROADCAST_PARTS)
+    return get_sim_scores(db, query).join(parts, "chunk_idx").select((F.col("start") + F.col("position")).alias("gid"), "score")
+
+
+def raw_scores(db: Database, query) -> np.ndarray:
+    """A byte a row in global order, on the driver; for databases that fit there (see write_raw_scores for others)."""
+    table = global_scores(db, query).toArrow().sort_by("gid")
+    return table.column("score").to_numpy().astype(np.uint8)
+
+
 def get_sim_compounds_single_query(db: Database, query, lower: float = 0.0, upper: float = 1.0, return_smiles: bool = False) -> DataFrame:
     """chunk_idx, position, inter, denom, score (centi), tanimoto (float) of the rows within the bounds."""
     words, ones_q = packed(query, db.bits)
@@ -68,7 +82,7 @@ def get_sim_compounds_single_query(db: Database, query, lower: float = 0.0, uppe
     onbits = [a for _, a in allowed(ones_q, db.bits, lower, upper)]
     inter = intersection(_words("w", db.bits), [F.lit(w).cast("long") for w in words[0]])
     rows = db.fp.where(_onbits_in(onbits)).withColumn("inter", inter).where(within(F.col("inter"), F.col("onbits"), F.lit(ones_q[0]), lower, upper))
-    return _scored(db, rows.withColumn("ones_q", F.lit(ones_q[0])), ["chunk_idx", "position"], return_smiles)
+    return _scored(db, rows.withColumn("ones_q", F.lit(ones_q[0])), ["chunk_idx", "position"], return_smiles, _onbits_in(onbits))
 
 
 def _onbits_in(onbits: list[int]):
@@ -79,50 +93,66 @@ def _onbits_in(onbits: list[int]):
     return F.col("onbits").between(low, high) if high - low + 1 == len(set(onbits)) else F.col("onbits").isin(sorted(set(onbits)))
 
 
-def _scored(db: Database, rows: DataFrame, keys: list[str], return_smiles: bool) -> DataFrame:
+def _scored(db: Database, rows: DataFrame, keys: list[str], return_smiles: bool, onbits=None) -> DataFrame:
     denom = union(F.col("inter"), F.col("onbits"), F.col("ones_q"))
     out = rows.withColumn("denom", denom).select(*keys, "inter", "denom", centi_score(F.col("inter"), F.col("denom")).alias("score"), tanimoto(F.col("inter"), F.col("denom")).alias("tanimoto"))
-    return db.lookup(out) if return_smiles else out
+    return db.lookup(out, onbits) if return_smiles else out
 
 
-def query_relation(db: Database, queries, lower: float, upper: float) -> tuple[DataFrame, list[int], int]:
-    """(query_idx, onbits, ones_q, q-words) a row for each on-bit count that a query may match."""
+def query_relation(db: Database, queries: Sequence, lower: float, upper: float) -> list[tuple[DataFrame, list[int]]]:
+    """(query_idx, onbits, ones_q, q-words), a row for each on-bit count that a query may match, and those counts: in as
+    many relations as it takes to keep each within BROADCAST_BYTES."""
     words, ones_q = packed(queries, db.bits)
-    pairs = allowed(ones_q, db.bits, lower, upper)
     names = word_names(db.bits, "q")
     schema = ", ".join(["query_idx int", "onbits int", "ones_q int", *(f"{n} long" for n in names)])
-    rows = [(k, a, ones_q[k], *words[k]) for k, a in pairs]
-    return db.fp.sparkSession.createDataFrame(rows, schema), [a for _, a in pairs], len(rows)
+    most = max(1, BROADCAST_BYTES // ((8 * len(names) + 64) * (db.bits + 1)))  # queries of one relation
+    out = []
+    for at in range(0, len(words), most):
+        pairs = [(at + k, a) for k, a in allowed(ones_q[at : at + most], db.bits, lower, upper)]
+        weights = db.fp.sparkSession.createDataFrame(pairs, "query_idx int, onbits int")
+        own = db.fp.sparkSession.createDataFrame([(at + k, ones_q[at + k], *words[at + k]) for k in range(len(words[at : at + most]))], schema.replace("onbits int, ", ""))
+        out.append((weights.join(F.broadcast(own), "query_idx").select("query_idx", "onbits", "ones_q", *names), [a for _, a in pairs]))
+    return out
 
 
 def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upper: float = 1.0, return_smiles: bool = False, max_hits_per_chunk: int | None = None) -> DataFrame:
     """chunk_idx, query_idx, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
 
-    max_hits_per_chunk makes a chunk of more hits an error; by default hits are unbounded.
+    Queries that don't fit in one broadcast go in several, each a scan of its own. max_hits_per_chunk makes a chunk of
+    more hits an error; by default hits are unbounded.
     """
-    relation, onbits, n = query_relation(db, queries, lower, upper)
-    side = F.broadcast(relation) if n <= BROADCAST_ROWS else relation
-    rows = db.fp.where(_onbits_in(onbits)).join(side, "onbits").withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
-    rows = rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper))
-    out = _scored(db, rows, ["chunk_idx", "query_idx", "position"], False)
+    parts, counts = [], []
+    for relation, onbits in query_relation(db, queries, lower, upper):
+        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(relation), "onbits").withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
+        rows = rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper))
+        parts.append(_scored(db, rows, ["chunk_idx", "query_idx", "position"], False))
+        counts += onbits
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     if max_hits_per_chunk is not None:
         if max_hits_per_chunk < 1:
             raise ValueError("max_hits_per_chunk must be positive")
         worst = out.groupBy("chunk_idx").count().where(F.col("count") > max_hits_per_chunk).limit(1).collect()
         if worst:
             raise MemoryError(f"chunk {worst[0]['chunk_idx']} has {worst[0]['count']} hits, more than {max_hits_per_chunk}")
-    return db.lookup(out) if return_smiles else out
+    return db.lookup(out, _onbits_in(sorted(set(counts)))) if return_smiles else out
 
 
 def get_sim_compounds_of_rows(db: Database, queries: DataFrame, lower: float = 0.0, upper: float = 1.0) -> DataFrame:
     """chunk_idx, query_id, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
 
-    Queries are rows (query_id, words w0, w1 ...), as many as there are: they stay distributed."""
+    Queries are rows (query_id, words w0, w1 ...), as many as there are: they stay distributed. On-bits alone are few
+    and uneven keys, so each query goes to one of SALTS salts of its counts and each row to all of them where queries are many."""
     names = word_names(db.bits)
     weights = [(q, a) for q in range(db.bits + 1) for a in range(db.bits + 1) if may_match(a, q, db.bits, lower, upper)]
     grid = F.broadcast(queries.sparkSession.createDataFrame(weights, "ones_q int, onbits int"))
     side = queries.select("query_id", ones([F.col(n) for n in names]).cast("int").alias("ones_q"), *(F.col(n).alias(q) for n, q in zip(names, word_names(db.bits, "q"), strict=True)))
-    rows = db.fp.join(side.join(grid, "ones_q"), "onbits").withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
+    side, fp = side.join(grid, "ones_q"), db.fp
+    if queries.limit(SALTED_QUERIES + 1).count() > SALTED_QUERIES:
+        side = side.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+        fp = fp.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = fp.join(side, [c for c in ("onbits", "_salt") if c in side.columns]).withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
     return _scored(db, rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), ["chunk_idx", "query_id", "position"], False)
 
 

@@ -9,7 +9,7 @@ from ..functions import similarity, text
 from ..operators import ingest, search
 from ..sources.delimited import guess_format_column
 from ..sources.tables import resume
-from . import standins
+from . import files, standins
 from .bounds import may_match
 
 #: Queries of the multi-query searches: the baskets of customers 0 to 20.
@@ -314,3 +314,6 @@ SELECT ones_q, onbits FROM t WHERE ones_q > 0 AND least(ones_q, onbits) * 10 >=
     "emb64_every50": f"{_EMB.replace('a.k <= 20', 'a.k % 50 = 0')} SELECT chunk_idx, query_idx AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
     "payload_every_row": f"WITH {_BITS} SELECT chunk_idx, position, c_name AS smiles, c_mktsegment AS compound_id FROM db",
 }
+
+QUERIES |= files.QUERIES
+SQL |= files.sql(_BITS, _pairs, _SCORE, _hit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,18 +66,20 @@ def read_any(spark: SparkSession, paths: list[str], numbered: bool = True) -> Da
     return parts[0] if len(parts) == 1 else parts[0].select("path", "line", *(["line_no"] if numbered else [])).unionByName(parts[1].select("path", "line", *(["line_no"] if numbered else [])))
 
 
-def output_path(rel_path: str) -> str:
-    """The name of a normalized file: a compression suffix gives way to .zst; an absolute path to its file name."""
-    name = rel_path.rsplit("/", 1)[-1] if rel_path.startswith("/") else rel_path
-    for suffix in (".gz", ".bgzf", ".bz2", ".zst"):
-        if name.lower().endswith(suffix):
-            name = name[: -len(suffix)]
-            break
-    out = name + ".zst"
-    if out == rel_path:
-        raise ValueError(f"{rel_path} would be overwritten")
-    return out
+def output_path(rel_path: str, abs_path: str = "", out_dir: str = "") -> str:
+    """The name of a normalized file: .gz, .bgzf and .bz2 give way to .zst, .zst stays, others get .zst; an absolute
+    path gives its file name, and so does abs_path where rel_path is empty. An output that is the input is an error."""
+    name = rel_path or abs_path.rsplit("/", 1)[-1]
+    name = name.rsplit("/", 1)[-1] if name.startswith("/") else name
+    if name.lower().endswith((".gz", ".bgzf", ".bz2")):
+        name = name.rsplit(".", 1)[0] + ".zst"
+    elif not name.lower().endswith(".zst"):
+        name += ".zst"
+    if abs_path and out_dir and posixpath.normpath(f"{out_dir}/{name}") == posixpath.normpath(abs_path):
+        raise ValueError(f"{abs_path} would be overwritten")
+    return name
 
 
-def write_lines(rows: DataFrame, column: Column, path: str, compression: str = "zstd") -> None:
+def write_lines(rows: DataFrame, column: Column, path: str, compression: str = "gzip") -> None:
+    """Lines in files of Spark's naming, by the codecs that Spark writes text with; zstd, names and order by chunk: chunks.write_chunks."""
     rows.select(column.alias("value")).write.mode("overwrite").option("compression", compression).text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shlex
 from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,9 +100,9 @@ def parse_download_line(line: str) -> tuple[str, str] | None:
 
 
 def parse_download_script(lines: list[str]) -> list[tuple[int, str, str, str]]:
-    """(chunk_id, url, output_path, base_name); ids count commands from 0. One bad line fails the script."""
+    """(chunk_id, url, output_path, base_name without its last suffix); ids count commands from 0. One bad line fails the script."""
     found = [x for x in map(parse_download_line, lines) if x]
-    return [(k, url, output, output.rsplit("/", 1)[-1]) for k, (url, output) in enumerate(found)]
+    return [(k, url, output, PurePosixPath(output).stem) for k, (url, output) in enumerate(found)]
 
 
 def download(jobs: DataFrame, fetch: Callable[[str, str], str]) -> DataFrame:

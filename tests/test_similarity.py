@@ -148,3 +148,101 @@ def test_queries_as_rows(spark):
     names = ["chunk_idx", "position", "inter", "denom", "score"]
     got = sorted(tuple(r) for r in found.select("query_id", *names).collect())
     assert got and got == sorted((wanted[r[0]], *r[1:]) for r in plain.select("query_idx", *names).collect())
+
+
+def test_scores_with_supplied_counts(spark):
+    """The on-bit counts that come with the rows are those that count."""
+    words, _ = search.packed([_bits(x) for x in ("00000000", "10000000", "11110000", "11111111")], 8)
+    data = spark.createDataFrame([(0, k, 8, w[0]) for k, w in enumerate(words)], "chunk_id long, line_no long, onbits int, w0 long")
+    db = Database.build(data, 8)
+    assert sorted(r["score"] for r in search.get_sim_scores(db, _bits("11111111")).collect()) == [0, 7, 33, 100]
+    assert search.raw_scores(db, _bits("11111111")).tolist() == [0, 7, 33, 100]
+
+
+@pytest.mark.parametrize("size", [8, 16, 32, 64])
+def test_scores_of_wide_rows(spark, size):
+    """Rows of bytes in order, with counts supplied, against plain arithmetic."""
+    rows = np.arange(9 * size, dtype=np.uint8).reshape(9, size)
+    query = np.arange(size, dtype=np.uint8)
+    bits, q = np.unpackbits(rows, axis=1), np.unpackbits(query)
+    for counts in ([8 * size] * 9, [int(q.sum())] * 9):
+        words, _ = search.packed(bits, 8 * size)
+        data = spark.createDataFrame([(0, k, counts[k], *w) for k, w in enumerate(words)], "chunk_id long, line_no long, onbits int, " + ", ".join(f"{n} long" for n in similarity.word_names(8 * size)))
+        inter = (bits & q).sum(1)
+        wanted = [int(100 * Fraction(int(i), counts[0] + int(q.sum()) - int(i)) + Fraction(1, 2)) for i in inter]
+        found = search.get_sim_scores(Database.build(data, 8 * size), q).orderBy("position").collect()
+        assert [r["score"] for r in found] == wanted
+
+
+def test_searches_in_several_broadcasts(spark, monkeypatch):
+    """Queries that don't fit in one broadcast, or that are salted, give the same hits."""
+    rows = standins.basket(spark, "/root/testdata/sf0.001")
+    db, vectors = Database.build(rows, 128), standins.vectors(rows, 128, list(range(30)))
+    queries = rows.where("line_no < 30").withColumnRenamed("line_no", "query_id")
+    names = ["chunk_idx", "position", "inter", "denom", "score"]
+
+    def hits():
+        many = search.get_sim_compounds_multi_query(db, vectors, 0.2).select("query_idx", *names).collect()
+        return sorted(map(tuple, many)), sorted(map(tuple, search.get_sim_compounds_of_rows(db, queries, 0.2).select("query_id", *names).collect()))
+
+    plain = hits()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 100_000)
+    monkeypatch.setattr(search, "SALTED_QUERIES", 3)
+    assert len(search.query_relation(db, vectors, 0.2, 1.0)) > 1 and hits() == plain and plain[0]
+
+
+def test_resume(spark, tmp_path):
+    """Building a chunk anew replaces all of its rows, drops folders that are left empty and numbers the manifest anew."""
+    schema, path = "chunk_id long, line_no long, w0 long, smiles string, compound_id string", str(tmp_path / "db")
+
+    def data(chunk, *vectors):
+        return [(chunk, k, w[0], f"s{chunk}{k}", "x") for k, w in enumerate(search.packed([_bits(v) for v in vectors], 8)[0])]
+
+    Database.build(spark.createDataFrame(data(0, "11110000", "10000000") + data(1, "11110000", "11111111"), schema), 8).save(path)
+    Database.build(spark.createDataFrame(data(0, "11100000"), schema), 8).save(path, only_chunks=[0])
+    db = Database.open(spark, path, 8)
+    assert len(db) == db.fp.count() == db.payload.count() == 3
+    assert sorted((r["chunk_id"], r["onbits"], r["chunk_idx"]) for r in db.fp.collect()) == [(0, 3, 0), (1, 4, 1), (1, 8, 2)]
+    assert not (tmp_path / "db" / "fp" / "onbits=1" / "chunk_group=0").exists()
+    hits = search.get_sim_compounds(db, _bits("11111111"), 0.9, 1.0, return_smiles=True)
+    assert [r["smiles"] for r in hits.collect()] == ["s11"]
+    for table in ("fp", "payload"):  # both scans are pruned by literals
+        scan = next(x for x in hits._jdf.queryExecution().toString().split("FileScan parquet")[1:] if f"/{table}" in x.split("PushedFilters")[0])
+        assert "onbits" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_names_and_columns():
+    assert [lines.output_path(x) for x in ("a/b.zst", "/a/b.ZST", "x.smi", "a.BZ2")] == ["a/b.zst", "b.ZST", "x.smi.zst", "a.zst"]
+    assert lines.output_path("", "/in/c.gz") == "c.zst"
+    with pytest.raises(ValueError):
+        lines.output_path("b.zst", "/out/a/../b.zst", "/out")
+
+
+def test_headerless_columns_out_of_range(spark):
+    rows = spark.createDataFrame([(1, 1, "C,x"), (1, 2, "N,y")], "chunk_id long, line_no long, line string")
+    for options in ({"smiles": "5"}, {"smiles": "0", "compound_id": "2"}):
+        with pytest.raises(ValueError):
+            ingest.normalize_delimited(rows, ",", delimited.Options.parse(**options))
+
+
+def test_stream_of_queries(spark, tmp_path):
+    """Batches of queries find what a search of all of them finds."""
+    from popsieve.streaming.search import start
+
+    rows = standins.basket(spark, "/root/testdata/sf0.001")
+    db = Database.build(rows, 128)
+    queries = rows.where("line_no < 20").select(F.col("line_no").cast("int").alias("query_idx"), F.col("w0").alias("q0"), F.col("w1").alias("q1"))
+    for k in range(2):
+        queries.where(F.col("query_idx") % 2 == k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(queries.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start(db, stream, 0.3, 1.0, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    keys = sorted(r["query_idx"] for r in queries.collect())
+    plain = search.get_sim_compounds_multi_query(db, standins.vectors(rows, 128, keys), 0.3)
+    found = sorted((r["chunk_idx"], r["query_idx"], r["position"], r["score"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found and found == sorted((r["chunk_idx"], keys[r["query_idx"]], r["position"], r["score"]) for r in plain.collect())
+
+
+def test_sql_functions(spark):
+    similarity.register(spark)
+    row = spark.sql("SELECT fp_intersection(array(3L, 1L), array(1L, 1L)) i, fp_tanimoto(array(3L, 1L), array(1L, 1L)) t, fp_centi_score(array(3L, 1L), array(1L, 1L)) s, fp_centi_score(array(0L), array(0L)) e").first()
+    assert (row["i"], row["t"], row["s"], row["e"]) == (2, 2 / 3, 67, 100)
