@@ -90,7 +90,10 @@ def within(inter: Column, ones_a: Column, ones_q: Column, lower: float, upper: f
     """lower <= i / (a + q - i) <= upper without a division: i * (den + num) against num * (a + q)."""
     low, high, den = common(lower, upper)
     both = (ones_a + ones_q).cast("long")
-    return (inter * F.lit(den + low) >= both * F.lit(low)) & (inter * F.lit(den + high) <= both * F.lit(high))
+    above, below = inter * F.lit(den + low) >= both * F.lit(low), inter * F.lit(den + high) <= both * F.lit(high)
+    if high >= den:  # every score is 1 at most
+        return above
+    return below if low <= 0 else above & below
 
 
 def integer_bounds(ones_a: int, ones_q: int, lower: float, upper: float) -> tuple[int, int] | None:

@@ -2,8 +2,8 @@
 
 Queries come from the caller as 0/1 vectors and are few next to the database. A threshold search lists, for each
 query, the on-bit counts that can match (exactly, on the driver). One query becomes literals; many become
-a broadcast relation (query, on-bits, words) that an equi-join on on-bits meets, with the integer
-threshold left as a residual. The database is scanned once, its partitions pruned by literal on-bits.
+broadcast blocks of (query, bounds of on-bits, words) that every row is held against; queries that are rows
+themselves, as many as there are, meet it by an equi-join on on-bits. The database is scanned once, its partitions pruned by literal on-bits.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from ..functions.text import sanitized
 from ..plans.bounds import allowed, may_match
 from .database import BROADCAST_PARTS, Database, few
 
-#: Bytes of (query, on-bits) rows that are broadcast at once; more queries go in several broadcasts.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of queries that are broadcast at once; more go in several blocks.
+BROADCAST_BYTES = 16 << 20
+#: Words of a vector up to which on-bit bounds don't pay.
+FEW_WORDS = 4
 #: Distributed queries from which their join is salted, and the salts.
 SALTED_QUERIES, SALTS = 100_000, 16
 
@@ -100,31 +103,38 @@ def _scored(db: Database, rows: DataFrame, keys: list[str], return_smiles: bool,
 
 
 def query_relation(db: Database, queries: Sequence, lower: float, upper: float) -> list[tuple[DataFrame, list[int]]]:
-    """(query_idx, onbits, ones_q, q-words), a row for each on-bit count that a query may match, and those counts: in as
-    many relations as it takes to keep each within BROADCAST_BYTES."""
+    """(query_idx, ones_q, first, last, q-words), a row a query, and the on-bit counts that any may match: in as many
+    relations as it takes to keep each within BROADCAST_BYTES. first and last bound the on-bits that the query may match."""
     words, ones_q = packed(queries, db.bits)
     names = word_names(db.bits, "q")
-    schema = ", ".join(["query_idx int", "onbits int", "ones_q int", *(f"{n} long" for n in names)])
-    most = max(1, BROADCAST_BYTES // ((8 * len(names) + 64) * (db.bits + 1)))  # queries of one relation
+    matrix = np.array(words, np.int64).reshape(len(words), len(names))
+    ranges = {q: [a for a in range(db.bits + 1) if may_match(a, q, db.bits, lower, upper)] for q in set(ones_q)}
+    kept = [k for k, q in enumerate(ones_q) if ranges[q]]
+    most = max(1, BROADCAST_BYTES // (8 * len(names) + 48))
     out = []
-    for at in range(0, len(words), most):
-        pairs = [(at + k, a) for k, a in allowed(ones_q[at : at + most], db.bits, lower, upper)]
-        weights = db.fp.sparkSession.createDataFrame(pairs, "query_idx int, onbits int")
-        own = db.fp.sparkSession.createDataFrame([(at + k, ones_q[at + k], *words[at + k]) for k in range(len(words[at : at + most]))], schema.replace("onbits int, ", ""))
-        out.append((weights.join(F.broadcast(own), "query_idx").select("query_idx", "onbits", "ones_q", *names), [a for _, a in pairs]))
+    for at in range(0, max(1, len(kept)), most):
+        some = np.array(kept[at : at + most], np.int32)
+        sizes = [ones_q[k] for k in some]
+        columns = [some, sizes, [ranges[q][0] for q in sizes], [ranges[q][-1] for q in sizes]]
+        table = pa.table([*(pa.array(c, pa.int32()) for c in columns), *(pa.array(matrix[some, k]) for k in range(len(names)))], names=["query_idx", "ones_q", "first", "last", *names])
+        out.append((db.fp.sparkSession.createDataFrame(table), sorted({a for q in set(sizes) for a in ranges[q]})))
     return out
 
 
 def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upper: float = 1.0, return_smiles: bool = False, max_hits_per_chunk: int | None = None) -> DataFrame:
     """chunk_idx, query_idx, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
 
-    Queries that don't fit in one broadcast go in several, each a scan of its own. max_hits_per_chunk makes a chunk of
-    more hits an error; by default hits are unbounded.
+    The given queries, in blocks, are held against all rows in generated code, by the integer threshold, and where
+    vectors are wide by their on-bit bounds before that (up to FEW_WORDS words, counting shared bits costs no more than
+    the bounds; a hash join on on-bits, of which there are few, costs more than either). max_hits_per_chunk makes a chunk of more hits an error; by default hits are unbounded.
     """
     parts, counts = [], []
     for relation, onbits in query_relation(db, queries, lower, upper):
-        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(relation), "onbits").withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
-        rows = rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper))
+        inter = intersection(_words("w", db.bits), _words("q", db.bits))
+        hit = within(inter, F.col("onbits"), F.col("ones_q"), lower, upper)
+        if len(word_names(db.bits)) > FEW_WORDS or lower <= 0:  # a query without bits, too, has no hits
+            hit = F.col("onbits").between(F.col("first"), F.col("last")) & hit
+        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(relation), hit).withColumn("inter", inter)
         parts.append(_scored(db, rows, ["chunk_idx", "query_idx", "position"], False))
         counts += onbits
     out = parts[0]

@@ -186,7 +186,7 @@ def test_searches_in_several_broadcasts(spark, monkeypatch):
         return sorted(map(tuple, many)), sorted(map(tuple, search.get_sim_compounds_of_rows(db, queries, 0.2).select("query_id", *names).collect()))
 
     plain = hits()
-    monkeypatch.setattr(search, "BROADCAST_BYTES", 100_000)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 500)
     monkeypatch.setattr(search, "SALTED_QUERIES", 3)
     assert len(search.query_relation(db, vectors, 0.2, 1.0)) > 1 and hits() == plain and plain[0]
 
