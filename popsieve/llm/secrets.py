@@ -4,10 +4,13 @@ Base spans are leftmost, non-overlapping matches per kind (assign, access, hex);
 length rule are dropped without retries. The method looks at values that follow a credential's name in ways
 the base patterns don't take ("the password is ...", "pwd: ...") and asks how many guesses a cracker
 would need: the cheapest segmentation of the value into words, dates, repeats, keyboard walks and
-brute-force spans, by dynamic programming. Values of MIN_COST decimal digits of guesses or more that
+brute-force spans, by dynamic programming. Words are a short list of usual passwords, and after them, by frequency,
+the CORPUS_WORDS that most documents of the table have (counted over all of them). Values of MIN_COST decimal digits of guesses or more that
 overlap no base span are added as kind `guess`; base spans stay.
 
-Null text counts as empty. Positions are code points, ends exclusive. Rows are mapped one by one: no shuffle.
+Null text counts as empty, and an empty table gives no rows. Positions are code points, ends exclusive. Texts and values
+of any length are read whole. Rows, repeated ones too, are mapped one by one; of texts nothing shuffles but counts of
+words, summed before they do. Words in the same number of documents rank by themselves. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ MIN_COST = 9.0
 #: Characters of a value from which the recurrence checks whether its cost can still fall below MIN_COST.
 STRETCH = 200
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
+#: Words of the corpus that a cracker is taken to know, and their length.
+CORPUS_WORDS, WORD_LENGTH = 20_000, (3, 12)
 #: Common words by rank; a word costs its rank in guesses.
 WORDS = """password admin welcome letmein monkey dragon master login hello secret football shadow sunshine princess
 love user test guest root access freedom whatever money summer winter spring autumn monday friday orange apple
@@ -65,13 +70,13 @@ def _runs(value: str) -> list[list[int]]:
     return out
 
 
-def _spans_at(value: str, start: int, runs: list[list[int]]):
+def _spans_at(value: str, start: int, runs: list[list[int]], rank_of: dict[str, int]):
     """(start, end, cost) of every word, date, repeat and keyboard walk that starts there; runs are those of _runs()."""
     near = value[start : start + 32]
     low = near.lower()
     plain = low.translate(_LEET)
     for size in range(2, min(len(near), 12) + 1):
-        rank = _RANK.get(low[:size]) or _RANK.get(plain[:size])
+        rank = rank_of.get(low[:size]) or rank_of.get(plain[:size])
         if rank:
             yield start, start + size, math.log10(rank * (1 if near[:size] == low[:size] else 4))
     date = _DATE.match(value, start)
@@ -90,19 +95,19 @@ def _spans_at(value: str, start: int, runs: list[list[int]]):
             yield start, start + size, math.log10(len(WALKS) * 26 * size)
 
 
-def _spans(value: str):
+def _spans(value: str, rank_of: dict[str, int]):
     """(start, end, cost) of every word, date, repeat and keyboard walk in the value."""
     runs = _runs(value)
     for start in range(len(value)):
-        yield from _spans_at(value, start, runs)
+        yield from _spans_at(value, start, runs, rank_of)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, rank_of: dict[str, int] = _RANK) -> float:
     """Decimal digits of the guesses that the cheapest segmentation needs."""
     n = len(value)
     best = [0.0] + [math.inf] * n
     ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, cost in _spans(value):
+    for start, end, cost in _spans(value, rank_of):
         ending.setdefault(end, []).append((start, cost))
     for end in range(1, n + 1):
         for start in range(end):
@@ -112,14 +117,14 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def costly(value: str) -> bool:
+def costly(value: str, rank_of: dict[str, int] = _RANK) -> bool:
     """guess_cost(value) >= MIN_COST, in time in proportion to the value's length.
 
     A brute-force span costs a digit for each character at least, so one that can matter is short of MIN_COST characters;
     and a place that no segmentation reaches below MIN_COST leads nowhere cheaper."""
     n, reach = len(value), math.ceil(MIN_COST)
     if n <= STRETCH:
-        return guess_cost(value) >= MIN_COST
+        return guess_cost(value, rank_of) >= MIN_COST
     best, runs = [0.0] + [math.inf] * n, _runs(value)
     last = 0  # the farthest place reached below MIN_COST
     for start in range(n):
@@ -131,7 +136,7 @@ def costly(value: str) -> bool:
             best[end] = min(best[end], best[start] + brute_force(value[start:end]))
             if best[end] < MIN_COST:
                 last = max(last, end)
-        for _, end, cost in _spans_at(value, start, runs):
+        for _, end, cost in _spans_at(value, start, runs, rank_of):
             best[end] = min(best[end], best[start] + cost)
             if best[end] < MIN_COST:
                 last = max(last, end)
@@ -150,7 +155,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], rank_of: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(cue in low for cue in CUES):
         return []
@@ -159,7 +164,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         value = match[1].rstrip("\"'`,;.)]}>")
         start, end = match.start(1), match.start(1) + len(value)
         varied = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value)))
-        if len(value) >= 8 and varied >= 2 and any(c.isdigit() for c in value) and not any(s < end and start < e for s, _, e in base) and costly(value):
+        if len(value) >= 8 and varied >= 2 and any(c.isdigit() for c in value) and not any(s < end and start < e for s, _, e in base) and costly(value, rank_of):
             out.append((start, 3, end))
     return out
 
@@ -168,8 +173,23 @@ def rendered(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def word_ranks(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> dict[str, int]:
+    """Ranks of the usual passwords and then of the words in most documents, `most` of them: what the driver gets.
+
+    Only words that stand by themselves count, so that parts of a credential don't become words by its being in the table."""
+    low, high = WORD_LENGTH
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"""[\s.,;:!?()"']+"""))).alias("word"))
+    words = words.where(F.length("word").between(low, high) & F.col("word").rlike("^[a-z]+$"))
+    found = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    ranks = dict(_RANK)
+    for row in found:
+        ranks.setdefault(row["word"], len(ranks) + 2)
+    return ranks
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, base>> of every document, by start and then kind."""
+    ranks = word_ranks(docs, text_col)
 
     def make():
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
@@ -178,7 +198,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for text in strings(batch):
                 base = base_spans(text)
-                rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": k < 3} for s, k, e in sorted(base + added_spans(text, base))])
+                rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": k < 3} for s, k, e in sorted(base + added_spans(text, base, ranks))])
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(kind))], ["doc_id", "spans"])
 
         return step
