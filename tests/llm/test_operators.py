@@ -349,3 +349,115 @@ def test_secrets_of_any_length():
     for value in ("ab1" * 100, "1" * 300, "password1" * 40, "qwerty123" + "z" * 300, "a1" * 150 + "xK9#mP", "0" * 250 + "aB3$"):
         assert secrets.costly(value) == (secrets.guess_cost(value) >= secrets.MIN_COST)
     assert secrets.costly("a1" * 20000 + "xK9#mPq7") == secrets.costly("a1" * 150 + "xK9#mPq7")
+
+
+def secret_base(t):
+    """Base spans by the contract's plain patterns."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_secrets_against_plain_patterns(spark, docs):
+    rng = np.random.default_rng(8)
+    parts = ["password", "PassWD", "secret", "TOKEN", "api_key", "APIKEY", '"', "'", ":", "=", " ", "  ", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "0123456789abcdef01234567", "hunter2secret", "a/b+c=", "é", "\n", "x"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(400)] + [t or "" for t in TEXTS] + ["p" * 3000, "password" * 500]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(3).collect()
+    found = secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(found) == len(texts) + 1
+    for r in found:
+        wanted = secret_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(wanted.encode()).hexdigest() and r["n_hex"] == wanted.count("hex:") and r["n_assign"] == wanted.count("assign:")
+
+
+def test_guess_cost_against_all_segmentations():
+    """The recurrence finds the cheapest of all ways to cut a value."""
+
+    def least(value):
+        spans = {}
+        for start, end, cost in secrets._spans(value, secrets._RANK):
+            spans[start, end] = min(cost, spans.get((start, end), 1e9))
+        best = 1e9
+        for cuts in range(1 << (len(value) - 1)):
+            edges = [0, *(k + 1 for k in range(len(value) - 1) if cuts >> k & 1), len(value)]
+            best = min(best, sum(min(spans.get((a, b), 1e9), secrets.brute_force(value[a:b])) for a, b in zip(edges, edges[1:])))
+        return best
+
+    for value in ("qwerty12", "Pa55word1", "19991231x", "abcabcab", "xK9#mP2$", "hello2024"):
+        assert secrets.guess_cost(value) == pytest.approx(least(value))
+
+
+def test_secret_words_of_the_corpus(spark):
+    """Frequent words of the table cost little; rare ones don't become words past the bound."""
+    rows = [(k, "the zorblax of quuxly and zorblax 12") for k in range(50)] + [(60, None), (61, "my password is zorblax1quuxly"), (62, "my password is zqrvlbx1qxwkzy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secrets.word_ranks(docs, most=6)
+    assert {"zorblax", "quuxly"} <= set(ranks) and "zqrvlbx" not in ranks
+    out = by_id(secrets.find_secrets(docs))
+    assert not out[61]["spans"] or secrets.guess_cost("zorblax1quuxly", ranks) >= secrets.MIN_COST
+    assert [s["kind"] for s in out[62]["spans"]] == ["guess"] and secrets.guess_cost("zorblax1quuxly", ranks) < secrets.guess_cost("zorblax1quuxly")
+
+
+def leaf_set(text):
+    """Runs of LEAF_WORDS words of each line, with the white space around them, as the leaves are cut."""
+    return {run for line in text.split("\n") for run in re.findall(r"\s*(?:\S+\s*){1,%d}|\s+" % merkle.LEAF_WORDS, line)}
+
+
+def test_fingerprints_near_values_and_edits(spark):
+    """Likeness against plain sets, one-row tables, repeated and null ids, and where an edit is."""
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{k}{i}" for i in range(40)) + "\n" + " ".join(f"v{i}" for i in range(40)) for k in range(5)] + ["", "one"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, "again another"), (None, "no id")]
+    out = merkle.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    dice = {}
+    order = sorted([r for r in rows if r[0] is not None], key=lambda r: (r[0], r[1]))
+    for k, (doc_id, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        a, b = leaf_set(t), leaf_set(after)
+        dice.setdefault(doc_id, []).append(1.0 if t == after else 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0)
+    for doc_id, wanted in dice.items():
+        assert sorted(r["near_next"] for r in out if r["doc_id"] == doc_id) == pytest.approx(sorted(wanted))
+    one = merkle.edits(spark.createDataFrame([(9, "a b c d e f g h")], "doc_id long, text string")).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c d a b c d"[:8] + b"a b c d"[:7]).hexdigest()
+    before, after = "first part\nsecond line\n\nthird part\nfourth line", "first part\nsecond line\n\nthird part\nfourth LINE"
+    two = merkle.fingerprints(spark.createDataFrame([(1, before), (2, after)], "doc_id long, text string"))
+    pair = two.agg(F.max(F.when(F.col("doc_id") == 1, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("doc_id") == 2, F.col("fingerprint"))).alias("b"))
+    got = pair.select(merkle.edited_paragraphs(F.col("a"), F.col("b")).alias("new"), merkle.edited_paragraphs(F.col("b"), F.col("b")).alias("none")).first()
+    assert got["new"] == [hashlib.md5(b"fourth LINE").hexdigest()[:8]] and got["none"] == []
+
+
+def test_packing_odd_tables(spark):
+    """A last sequence of a power of two, repeated rows, gapless offsets."""
+    one = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for texts in (["a"] * 16, ["a b c"] * 40 + [None, ""], ["x y " * 500, "z"], ["word " * 31]):
+        pieces = packing.pack(spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2), window=32).collect()
+        total = sum(len(one.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+        assert sum(p["length"] for p in pieces) == total
+        for k in {p["sequence_id"] for p in pieces}:
+            own = sorted((p["offset"], p["length"]) for p in pieces if p["sequence_id"] == k)
+            assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+            used = own[-1][0] + own[-1][1]
+            assert {p["pad_to"] for p in pieces if p["sequence_id"] == k} == {used if used & (used - 1) == 0 else 32}
+
+
+def test_pii_spans_by_join_and_in_row(spark, monkeypatch):
+    """Trusted contexts give the same spans looked up in the row or joined; ties, repeated rows and very long labels too."""
+    rows = [(k, f"Tel: +1 555 010 {1000 + k} and {'long' * 20}: user{k}@example.org") for k in range(12)] + [(20, "Tel: 555-0199"), (20, "Tel: 555-0199"), (None, "Tel: 555-0198"), (21, f"{'long' * 20}: nobody@localhost"), (22, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    plain = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["spans"]) for r in pii.digest(pii.find_pii(docs)).collect())
+    monkeypatch.setattr(pii, "IN_ROW", 0)
+    assert plain == sorted((-1 if r["doc_id"] is None else r["doc_id"], r["spans"]) for r in pii.digest(pii.find_pii(docs)).collect())
+    assert [s for k, s in plain if k in (-1, 20, 21)] == ["phone:5:13", "phone:5:13", "phone:5:13", "email:82:98"]
+
+
+def test_pii_counts_of_plain_words(spark):
+    """Plain words in contexts against a count by hand."""
+    from pyspark.sql import functions as F
+
+    texts = ["my number is red", "my number is blue, my number is 12", "the is red", None, ""]
+    wanted = spark.createDataFrame([("my number is",)], "c string").select(F.xxhash64(F.lit("left"), F.lit("is")).alias("label"))
+    docs = spark.createDataFrame([(t or "",) for t in texts], "_text string")
+    assert pii.plain(docs, wanted).first()["words"] == 2
