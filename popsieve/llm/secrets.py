@@ -5,7 +5,7 @@ length rule are dropped without retries. The method looks at values that follow
 the base patterns don't take ("the password is ...", "pwd: ...") and asks how many guesses a cracker
 would need: the cheapest segmentation of the value into words, dates, repeats, keyboard walks and
 brute-force spans, by dynamic programming. Words are a short list of usual passwords, and after them, by frequency,
-the CORPUS_WORDS that most documents of the table have (counted over all of them). Values of MIN_COST decimal digits of guesses or more that
+the up to CORPUS_WORDS words that most documents of the table have (counted over all of them). Values of MIN_COST decimal digits of guesses or more that
 overlap no base span are added as kind `guess`; base spans stay.
 
 Null text counts as empty, and an empty table gives no rows. Positions are code points, ends exclusive. Texts and values
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_texts, strings
+from .common import Scratch, documents, id_and_text, map_texts, strings
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -41,6 +41,8 @@ STRETCH = 200
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
 #: Words of the corpus that a cracker is taken to know, and their length.
 CORPUS_WORDS, WORD_LENGTH = 20_000, (3, 12)
+#: Levels of frequency to an octave.
+LEVELS = 8
 #: Common words by rank; a word costs its rank in guesses.
 WORDS = """password admin welcome letmein monkey dragon master login hello secret football shadow sunshine princess
 love user test guest root access freedom whatever money summer winter spring autumn monday friday orange apple
@@ -174,13 +176,23 @@ def rendered(spans: list[tuple[int, int, int]]) -> str:
 
 
 def word_ranks(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> dict[str, int]:
-    """Ranks of the usual passwords and then of the words in most documents, `most` of them: what the driver gets.
+    """Ranks of the usual passwords and then of the words in most documents: as many whole levels of frequency (an eighth
+    of an octave each) as have `most` words together, which is all that the driver gets.
 
     Only words that stand by themselves count, so that parts of a credential don't become words by its being in the table."""
     low, high = WORD_LENGTH
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"""[\s.,;:!?()"']+"""))).alias("word"))
     words = words.where(F.length("word").between(low, high) & F.col("word").rlike("^[a-z]+$"))
-    found = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.written(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")), "word-counts")
+    least, size = None, 0
+    for level in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # some hundred rows
+        size += level["count"]
+        if size > most:
+            break
+        least = level["level"]
+    found = [] if least is None else sorted(counts.where(F.col("level") >= least).collect(), key=lambda row: (-row["n"], row["word"]))  # `most` rows at most
+    scratch.drop()
     ranks = dict(_RANK)
     for row in found:
         ranks.setdefault(row["word"], len(ranks) + 2)
