@@ -12,10 +12,8 @@ from ..sources.tables import resume
 from . import files, standins
 from .bounds import may_match
 
-#: Queries of the multi-query searches: the baskets of customers 0 to 20.
-WANTED = list(range(21))
 ONE = [7]
-#: Queries of the *_every50 searches, which grow with the table.
+#: Queries of the multi-query searches: every row whose id is divisible by this, numbered by id / EVERY.
 EVERY = 50
 
 _BITS = """bits AS (SELECT DISTINCT o_custkey AS k, l_partkey % 128 AS bit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -34,13 +32,13 @@ def _pairs(where: str) -> str:
     return f"""WITH {_BITS},
 q AS (SELECT k AS query_key, onbits AS ones_q FROM ones WHERE {where}),
 shared AS (SELECT a.k AS query_key, b.k, count(*) AS n FROM bits a JOIN bits b ON a.bit = b.bit WHERE a.k IN (SELECT query_key FROM q) GROUP BY a.k, b.k),
-pairs AS (SELECT query_key, (SELECT count(*) FROM q x WHERE x.query_key < q.query_key) AS query_idx, ones_q, db.*,
+pairs AS (SELECT query_key, query_key // 50 AS query_idx, ones_q, db.*,
                  coalesce(n, 0) AS inter, ones_q + onbits - coalesce(n, 0) AS denom
           FROM q CROSS JOIN db LEFT JOIN shared USING (query_key, k))"""
 
 
 _SCORE = "CAST((200 * inter + denom) // (2 * denom) AS INTEGER) AS score"
-_MANY, _SINGLE = "k <= 20", "k = 7"
+_MANY, _SINGLE = "k % 50 = 0", "k = 7"
 
 
 def _hit(num: int, den: int, high: int | None = None) -> str:
@@ -48,9 +46,15 @@ def _hit(num: int, den: int, high: int | None = None) -> str:
     return f"inter * ({den} + {num}) >= {num} * (ones_q + onbits) AND inter * ({den} + {high}) <= {high} * (ones_q + onbits)"
 
 
-def _multi(spark: SparkSession, sf_dir: str, lower: float, upper: float = 1.0, smiles: bool = False) -> DataFrame:
+def _multi(spark: SparkSession, sf_dir: str, lower: float, smiles: bool = False) -> DataFrame:
     rows = standins.basket(spark, sf_dir)
-    return search.get_sim_compounds_multi_query(standins.Database.build(rows, 128), standins.vectors(rows, 128, WANTED), lower, upper, return_smiles=smiles)
+    db = standins.Database.build(rows, 128)
+    hits = search.get_sim_compounds_of_rows(db, _queries(rows).withColumn("query_id", F.call_function("div", F.col("query_id"), F.lit(EVERY))), lower).withColumnRenamed("query_id", "query_idx")
+    return db.lookup(hits) if smiles else hits
+
+
+def _queries(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("line_no") % EVERY == 0).withColumnRenamed("line_no", "query_id")
 
 
 def _one(spark: SparkSession, sf_dir: str, lower: float, upper: float = 1.0) -> DataFrame:
@@ -59,8 +63,7 @@ def _one(spark: SparkSession, sf_dir: str, lower: float, upper: float = 1.0) ->
 
 
 def _every(rows: DataFrame, bits: int, lower: float) -> DataFrame:
-    queries = rows.where(F.col("line_no") % EVERY == 0).withColumnRenamed("line_no", "query_id")
-    return search.get_sim_compounds_of_rows(standins.Database.build(rows, bits), queries, lower).select("chunk_idx", "query_id", "position", "inter", "denom", "score")
+    return search.get_sim_compounds_of_rows(standins.Database.build(rows, bits), _queries(rows), lower).select("chunk_idx", "query_id", "position", "inter", "denom", "score")
 
 
 def threshold_every50(spark, sf_dir):
@@ -147,9 +150,10 @@ def global_to_chunk(spark, sf_dir):
 
 
 def payload_lookup(spark, sf_dir):
+    """Every row by its place from its part's end."""
     db = standins.basket_db(spark, sf_dir)
-    wanted = db.catalog.select("chunk_idx", F.lit(-1).cast("long").alias("position"))
-    return db.lookup(wanted).select("chunk_idx", "smiles", "compound_id")
+    wanted = db.fp.select("chunk_idx", "position").join(F.broadcast(db.catalog.select("chunk_idx", "size")), "chunk_idx").select("chunk_idx", (F.col("position") - F.col("size")).alias("position"))
+    return db.lookup(wanted).select("chunk_idx", "position", "smiles", "compound_id")
 
 
 def _events(spark, sf_dir):
@@ -221,9 +225,10 @@ def resume_semi_anti(spark, sf_dir):
 
 
 def emb64_threshold(spark, sf_dir):
+    """By a matrix of vectors that the caller has."""
     rows = standins.signs(spark, sf_dir)
-    db = standins.Database.build(rows, 64)
-    hits = search.get_sim_compounds_multi_query(db, standins.vectors(rows, 64, WANTED), 0.4)
+    keys = sorted(r["query_id"] for r in _queries(rows).select("query_id").collect())
+    hits = search.get_sim_compounds_multi_query(standins.Database.build(rows, 64), standins.vectors(rows, 64, keys), 0.4)
     return hits.select("chunk_idx", F.col("query_idx").cast("long").alias("query_idx"), "position", "inter", "denom", "score")
 
 
@@ -274,9 +279,9 @@ _EMB = """WITH bits AS (SELECT vec_id AS k, label, i - 1 AS bit FROM embeddings
 ones AS (SELECT k, label, count(*) AS onbits FROM bits GROUP BY k, label),
 fp AS (SELECT label AS chunk_id, k, onbits, row_number() OVER (PARTITION BY label, onbits ORDER BY k) - 1 AS position FROM ones),
 manifest AS (SELECT row_number() OVER (ORDER BY chunk_id, onbits) - 1 AS chunk_idx, chunk_id, onbits FROM fp GROUP BY chunk_id, onbits),
-shared AS (SELECT a.k AS query_idx, b.k, count(*) AS inter FROM bits a JOIN bits b USING (bit) WHERE a.k <= 20 GROUP BY a.k, b.k),
-pairs AS (SELECT chunk_idx, query_idx, position, inter, q.onbits AS ones_q, fp.onbits, q.onbits + fp.onbits - inter AS denom
-          FROM shared JOIN fp USING (k) JOIN manifest USING (chunk_id, onbits) JOIN ones q ON q.k = query_idx)"""
+shared AS (SELECT a.k AS query_key, b.k, count(*) AS inter FROM bits a JOIN bits b USING (bit) WHERE a.k % 50 = 0 GROUP BY a.k, b.k),
+pairs AS (SELECT chunk_idx, query_key, query_key // 50 AS query_idx, position, inter, q.onbits AS ones_q, fp.onbits, q.onbits + fp.onbits - inter AS denom
+          FROM shared JOIN fp USING (k) JOIN manifest USING (chunk_id, onbits) JOIN ones q ON q.k = query_key)"""
 
 SQL = {
     "fp_build_basket128": f"""WITH {_BITS} SELECT k, count(*) AS onbits, {", ".join(f"coalesce(bit_or(CASE WHEN bit // 32 = {h} THEN CAST(1 AS BIGINT) << CAST(31 - bit % 32 AS INTEGER) END), 0) AS h{h}" for h in range(4))} FROM bits JOIN customer ON c_custkey = k GROUP BY k""",
@@ -296,7 +301,7 @@ SQL = {
 t AS (SELECT *, greatest(0, onbits + ones_q - 64) AS least_i FROM g)
 SELECT ones_q, onbits FROM t WHERE ones_q > 0 AND least(ones_q, onbits) * 10 >= 3 * greatest(ones_q, onbits) AND least_i * 10 <= 8 * (onbits + ones_q - least_i)""",
     "global_to_chunk": f"WITH {_BITS} SELECT CAST(start + position AS BIGINT) AS gid, chunk_idx, position FROM db",
-    "payload_lookup": f"WITH {_BITS} SELECT chunk_idx, c_name AS smiles, c_mktsegment AS compound_id FROM db QUALIFY row_number() OVER (PARTITION BY chunk_idx ORDER BY position DESC) = 1",
+    "payload_lookup": f"WITH {_BITS} SELECT chunk_idx, position - count(*) OVER (PARTITION BY chunk_idx) AS position, c_name AS smiles, c_mktsegment AS compound_id FROM db",
     "dedup_consecutive_id": "SELECT user_id % 50 AS chunk_id, event_id AS line_no, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id % 50 ORDER BY event_id)",
     "dedup_keep_first": "SELECT source AS chunk_id, doc_id AS line_no, length(text) AS n FROM documents QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1",
     "keep_first_counters": "SELECT source AS chunk_id, count(*) AS \"read\", count(DISTINCT CASE WHEN octet_length(encode(text)) <= 2000 THEN text END) AS written, count(*) FILTER (octet_length(encode(text)) > 2000) AS skipped, count(*) FILTER (octet_length(encode(text)) <= 2000) - count(DISTINCT CASE WHEN octet_length(encode(text)) <= 2000 THEN text END) AS duplicates FROM documents GROUP BY source",
@@ -311,7 +316,7 @@ SELECT ones_q, onbits FROM t WHERE ones_q > 0 AND least(ones_q, onbits) * 10 >=
     "resume_semi_anti": "SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, 'redo' AS kind FROM nation WHERE n_nationkey IN (SELECT s_suppkey % 30 FROM supplier) UNION ALL SELECT DISTINCT s_suppkey % 30, 'missing' FROM supplier WHERE s_suppkey % 30 NOT IN (SELECT n_nationkey FROM nation)",
     "emb64_threshold": f"{_EMB} SELECT chunk_idx, query_idx, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
     "threshold_every50": f"{_pairs('k % 50 = 0')} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(1, 5)}",
-    "emb64_every50": f"{_EMB.replace('a.k <= 20', 'a.k % 50 = 0')} SELECT chunk_idx, query_idx AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
+    "emb64_every50": f"{_EMB} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
     "payload_every_row": f"WITH {_BITS} SELECT chunk_idx, position, c_name AS smiles, c_mktsegment AS compound_id FROM db",
 }
 
