@@ -166,6 +166,38 @@ def get_sim_compounds_of_rows(db: Database, queries: DataFrame, lower: float = 0
     return _scored(db, rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), ["chunk_idx", "query_id", "position"], False)
 
 
+def bit_list(bits: int, prefix: str = "w"):
+    """The numbers of a row's set bits, as an array."""
+    lists = []
+    for k, word in enumerate(_words(prefix, bits)):
+        places = F.sequence(F.lit(64 * k), F.lit(min(64 * k + 64, bits) - 1))
+        lists.append(_set_places(places, word, k))
+    return F.concat(*lists)
+
+
+def _set_places(places, word, k: int):
+    return F.filter(places, lambda i: F.call_function("getbit", word, (F.lit(64 * k + 63) - i).cast("int")) == 1)
+
+
+def get_sim_compounds_by_bits(db: Database, queries: DataFrame, lower: float, upper: float = 1.0) -> DataFrame:
+    """The hits of get_sim_compounds_of_rows() by inverted bit lists: rows and queries meet at the bits that both have, and
+    shared bits are counted. For sparse vectors, where most pairs share none; pairs that share none can't be found,
+    so lower must be positive. Beyond BROADCAST_BYTES of queries, bits are salted, as they are few keys."""
+    if lower <= 0:
+        raise ValueError("bit lists need a positive lower bound")
+    names = word_names(db.bits)
+    side = queries.select("query_id", ones([F.col(n) for n in names]).cast("int").alias("ones_q"), F.explode(bit_list(db.bits)).alias("bit"))
+    rows = db.fp.select("chunk_idx", "position", "onbits", F.explode(bit_list(db.bits)).alias("bit"))
+    keys = ["bit"]
+    if queries.count() * db.bits * 16 <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    else:
+        side = side.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+        rows, keys = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["bit", "_salt"]
+    pairs = rows.join(side, keys).groupBy("chunk_idx", "position", "onbits", "query_id", "ones_q").agg(F.count("*").alias("inter"))
+    return _scored(db, pairs.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), ["chunk_idx", "query_id", "position"], False)
+
+
 def get_sim_compounds_multi_query_with_scores(db: Database, queries, lower: float, upper: float, smiles_output_path: str | None) -> DataFrame:
     """Two queries or more; the hits with payload, written to smiles_output_path as TSV files with a header."""
     if np.asarray(queries).ndim != 2 or len(queries) < 2:

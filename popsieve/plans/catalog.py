@@ -70,6 +70,12 @@ def threshold_every50(spark, sf_dir):
     return _every(standins.basket(spark, sf_dir), 128, 0.2)
 
 
+def threshold_bit_lists(spark, sf_dir):
+    """The same hits at 0.3 by inverted bit lists."""
+    rows = standins.basket(spark, sf_dir)
+    return search.get_sim_compounds_by_bits(standins.Database.build(rows, 128), _queries(rows), 0.3).select("chunk_idx", "query_id", "position", "inter", "denom", "score")
+
+
 def emb64_every50(spark, sf_dir):
     return _every(standins.signs(spark, sf_dir), 64, 0.4)
 
@@ -271,6 +277,7 @@ QUERIES = {
     "resume_semi_anti": resume_semi_anti,
     "emb64_threshold": emb64_threshold,
     "threshold_every50": threshold_every50,
+    "threshold_bit_lists": threshold_bit_lists,
     "emb64_every50": emb64_every50,
     "payload_every_row": payload_every_row,
 }
@@ -316,6 +323,7 @@ SELECT ones_q, onbits FROM t WHERE ones_q > 0 AND least(ones_q, onbits) * 10 >=
     "resume_semi_anti": "SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, 'redo' AS kind FROM nation WHERE n_nationkey IN (SELECT s_suppkey % 30 FROM supplier) UNION ALL SELECT DISTINCT s_suppkey % 30, 'missing' FROM supplier WHERE s_suppkey % 30 NOT IN (SELECT n_nationkey FROM nation)",
     "emb64_threshold": f"{_EMB} SELECT chunk_idx, query_idx, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
     "threshold_every50": f"{_pairs('k % 50 = 0')} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(1, 5)}",
+    "threshold_bit_lists": f"{_pairs(_MANY)} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(3, 10)}",
     "emb64_every50": f"{_EMB} SELECT chunk_idx, query_key AS query_id, position, inter, denom, {_SCORE} FROM pairs WHERE {_hit(2, 5)}",
     "payload_every_row": f"WITH {_BITS} SELECT chunk_idx, position, c_name AS smiles, c_mktsegment AS compound_id FROM db",
 }

@@ -41,9 +41,15 @@ def parse_chunk_table(lines: list[str]) -> list[tuple[int, str, str]]:
     return out
 
 
-def read_chunk_table(spark: SparkSession, path: str) -> DataFrame:
-    """A row per file of the build, so the table is small and checked on the driver."""
-    return spark.createDataFrame(parse_chunk_table([row.value for row in spark.read.text(path, wholetext=False).collect()]), CHUNK_TABLE)
+def read_chunk_table(spark: SparkSession, path: str, must_exist: bool = False) -> DataFrame:
+    """A row per file of the build, so the table is small and checked on the driver; with must_exist, so are its files."""
+    rows = parse_chunk_table([row.value for row in spark.read.text(path, wholetext=False).collect()])
+    if must_exist:
+        for _, name, _ in rows:
+            place = spark._jvm.org.apache.hadoop.fs.Path(name)
+            if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+                raise FileNotFoundError(name)
+    return spark.createDataFrame(rows, CHUNK_TABLE)
 
 
 def write_chunk_table(table: DataFrame, path: str) -> None:

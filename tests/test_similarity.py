@@ -211,6 +211,24 @@ def test_resume(spark, tmp_path):
         assert "onbits" in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_bit_lists_salted(spark, monkeypatch):
+    rows = standins.basket(spark, "/root/testdata/sf0.001")
+    db, queries = Database.build(rows, 128), rows.where("line_no < 30").withColumnRenamed("line_no", "query_id")
+    plain = sorted(map(tuple, search.get_sim_compounds_of_rows(db, queries, 0.25).collect()))
+    assert plain and sorted(map(tuple, search.get_sim_compounds_by_bits(db, queries, 0.25).collect())) == plain
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 10)
+    assert sorted(map(tuple, search.get_sim_compounds_by_bits(db, queries, 0.25).collect())) == plain
+    with pytest.raises(ValueError):
+        search.get_sim_compounds_by_bits(db, queries, 0.0)
+
+
+def test_missing_files_of_a_chunk_table(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(f"chunk_id,abs_path,rel_path\n1,{tmp_path}/t.csv,t\n2,{tmp_path}/none,n\n")
+    assert tables.read_chunk_table(spark, f"{tmp_path}/t.csv").count() == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read_chunk_table(spark, f"{tmp_path}/t.csv", must_exist=True)
+
+
 def test_names_and_columns():
     assert [lines.output_path(x) for x in ("a/b.zst", "/a/b.ZST", "x.smi", "a.BZ2")] == ["a/b.zst", "b.ZST", "x.smi.zst", "a.zst"]
     assert lines.output_path("", "/in/c.gz") == "c.zst"
