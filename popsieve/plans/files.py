@@ -281,7 +281,29 @@ def sanitize_ends(spark, sf_dir):
     return _people(spark, sf_dir).select("c_custkey", text.sanitized_id(_by_key("\t{}\t", " \x0b{}\r\n", "a\t{}\x0c ", "{}")).alias("id"))
 
 
+def manifest_parts(spark, sf_dir):
+    """Parts of three rows, in the order of their files' names (part 10 before part 2)."""
+    catalog = Database.build(standins.basket(spark, sf_dir), 128, part_rows=3).catalog
+    return catalog.select("chunk_idx", "chunk_id", F.col("onbits").cast("long").alias("onbits"), "part", "path", "size", "start", "end")
+
+
+def first_parts(spark, sf_dir):
+    """The rows of the manifest's first 20 parts of a stored database, with payload."""
+    out = shared_path(spark, "db")
+    standins.basket_db(spark, sf_dir).save(out)
+    return _rows(Database.open(spark, out, 128, max_files=20))
+
+
+def on_bit_queries(spark, sf_dir):
+    """Queries given by the numbers of their set bits: one a multiple of 8."""
+    vectors = search.from_on_bits([range(k, 128, 8) for k in range(8)], 128)
+    db = standins.basket_db(spark, sf_dir)
+    hits = search.get_sim_compounds(db, vectors, 0.1)
+    return hits.select(F.col("query_idx").cast("long").alias("query_idx"), "chunk_idx", "position", "inter", "denom", "score")
+
+
 QUERIES = {f.__name__: f for f in (
+    manifest_parts, first_parts, on_bit_queries,
     lines_gzip, lines_zstd, lines_bgzf, lines_any, frames_refs, build_from_lines, export_import, stored_threshold, hits_tsv_roundtrip, scores_raw, resume_rebuild,
     scan_tanimoto, supplied_onbits, strict_fields, normalize_csv, normalize_smiles, enamine_rows, remove_stereo_lines, canonical_null, chunk_tables, curl_scripts,
     download_status, download_totals, output_paths, existing_outputs, sanitize_ends,
@@ -305,6 +327,13 @@ def sql(bits: str, pairs, score: str, hit) -> dict[str, str]:
     """SQL of the queries above; the arguments are the catalog's parts for baskets."""
     every = f"{pairs('k % 50 = 0')} SELECT chunk_idx, query_key AS query_id, position, {score}, c_name AS smiles, c_mktsegment AS compound_id FROM pairs WHERE {hit(3, 10)}"
     return {
+        "manifest_parts": f"""WITH {bits}, places AS (SELECT chunk_id, onbits, position // 3 AS part, count(*) AS size FROM fp GROUP BY ALL),
+named AS (SELECT *, 'fp_128/chunk_' || chunk_id || '_onbits_' || onbits || CASE WHEN max(part) OVER (PARTITION BY chunk_id, onbits) > 0 THEN '_part_' || part ELSE '' END || '.npy' AS path FROM places)
+SELECT row_number() OVER w - 1 AS chunk_idx, chunk_id, onbits, part, path, size, CAST(sum(size) OVER w - size AS BIGINT) AS start, CAST(sum(size) OVER w AS BIGINT) AS "end" FROM named WINDOW w AS (ORDER BY chunk_id, onbits, path)""",
+        "first_parts": f"WITH {bits} SELECT chunk_idx, position, onbits, c_name AS smiles, c_mktsegment AS compound_id FROM db WHERE chunk_idx < 20",
+        "on_bit_queries": f"""WITH {bits}, q AS (SELECT query_idx, count(bit) AS inter, k FROM (SELECT unnest(range(8)) AS query_idx) CROSS JOIN ones LEFT JOIN bits USING (k) WHERE bit % 8 = query_idx GROUP BY query_idx, k),
+pairs AS (SELECT query_idx, chunk_idx, position, inter, 16 AS ones_q, onbits, 16 + onbits - inter AS denom FROM q JOIN db USING (k))
+SELECT query_idx, chunk_idx, position, inter, denom, {score} FROM pairs WHERE {hit(1, 10)}""",
         "lines_gzip": _NUMBERED,
         "lines_zstd": _NUMBERED,
         "lines_bgzf": _NUMBERED,

@@ -264,3 +264,22 @@ def test_sql_functions(spark):
     similarity.register(spark)
     row = spark.sql("SELECT fp_intersection(array(3L, 1L), array(1L, 1L)) i, fp_tanimoto(array(3L, 1L), array(1L, 1L)) t, fp_centi_score(array(3L, 1L), array(1L, 1L)) s, fp_centi_score(array(0L), array(0L)) e").first()
     assert (row["i"], row["t"], row["s"], row["e"]) == (2, 2 / 3, 67, 100)
+
+
+def test_log_without_repeats(capsys):
+    from popsieve.log import get_logger
+
+    logger = get_logger("popsieve-test")
+    for word in ("one", "one", "two", "one"):
+        logger.warning(word)
+    assert [line.rsplit(" ", 1)[-1] for line in capsys.readouterr().err.splitlines()] == ["one", "two", "one"]
+
+
+def test_part_order(spark):
+    """Parts 0 to 10 stand in the order of their names."""
+    words, _ = search.packed([_bits("10000000")] * 11, 8)
+    data = spark.createDataFrame([(0, k, w[0]) for k, w in enumerate(words)], "chunk_id long, line_no long, w0 long")
+    db = Database.build(data, 8, part_rows=1)
+    assert [r["part"] for r in db.catalog.orderBy("chunk_idx").collect()] == [0, 1, 10, 2, 3, 4, 5, 6, 7, 8, 9]
+    ids = spark.createDataFrame([(2,)], "gid long")
+    assert tuple(db.global_to_chunk_position(ids).first()) == (2, 2, 0)
