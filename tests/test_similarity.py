@@ -38,6 +38,9 @@ def test_integer_bounds():
     assert similarity.fingerprint_sizes(" 128,64, 128") == [64, 128]
 
 
+# The short vectors below, their bounds and the scores expected of them are fixed values, which must be as they are.
+
+
 def _db(spark, rows, bits=8):
     words, ones = search.packed(rows, bits)
     data = spark.createDataFrame([(0, k, w[0], f"s{k}", f"id{k}") for k, w in enumerate(words)], "chunk_id long, line_no long, w0 long, smiles string, compound_id string")
