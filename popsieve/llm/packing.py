@@ -39,7 +39,7 @@ SPECIAL_ID = 50256
 END_ID = 1
 WINDOW = 2048
 #: Chunks whose ids a Python worker remembers; workers outlive the stage, so this is memory all later stages lack.
-CHUNKS_KEPT = 100_000
+CHUNKS_KEPT = 200_000
 _ENCODERS: dict[str, object] = {}
 
 
