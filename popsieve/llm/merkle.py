@@ -11,14 +11,18 @@ Likeness is 1 for equal roots, else the Dice coefficient of the sets of leaves.
 functions on whole texts.
 
 next_texts() gives each row the next document's text by ascending id. Ids are dealt into ranges of about
-PART_ROWS rows by quantiles that are read from the ids alone; the texts shuffle once, by range; and a
-boundary record, the first document of the next range, closes each range. Rows that share an id go in
+PART_ROWS rows by quantiles, and quantiles of what lies between them, that are read from the ids alone, so ids may
+lie as unevenly as they like; of a table over PART_ROWS * QUANTILES ** LEVELS rows (a thousand million) a range is a
+two-millionth. The texts shuffle once, by range; and a
+boundary record, the first document of the next range, closes each range. Rows that share an id lie in one range, in
 order of their text. A null id has no place in the order: it is followed by the empty text.
 Null text counts as empty. A table of one document is followed by itself.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,9 @@ from .common import documents, id_and_text, written
 
 LEAF_WORDS = 4
 LEAVES = rf"\s*+(?:\S++\s*+){{1,{LEAF_WORDS}}}+|\s++"
-#: Quantiles that are read; rows of a range (about); boundary ids broadcast at most.
-QUANTILES = 128
+#: Parts that a range is cut into at once, and how often; the last cut's edges, which are broadcast, are QUANTILES ** LEVELS
+#: numbers at most (17 MB). Rows of a range (about); boundary ids broadcast at most.
+QUANTILES, LEVELS, ACCURACY = 128, 3, 1024
 PART_ROWS = 512
 BROADCAST_IDS = 1_000_000
 
@@ -104,17 +109,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """`rows` with `coarse` (by quantile) and `part` (a range of about PART_ROWS rows), both rising with doc_id."""
-    marks = [k / QUANTILES for k in range(1, QUANTILES)]
-    found = rows.agg(F.percentile_approx("doc_id", marks, 10_000).alias("q"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    if not found["n"]:
-        return rows.withColumns({"coarse": F.lit(0), "part": F.lit(0).cast("long")})
-    edges = sorted({found["low"], *found["q"]})
-    fine = max(1, found["n"] // (PART_ROWS * QUANTILES))
-    lows, highs = F.array(*map(F.lit, edges)), F.array(*map(F.lit, [*edges[1:], found["high"] + 1]))
-    coarse = F.size(F.filter(lows, lambda edge: edge <= F.col("doc_id")))
-    low, high = (F.element_at(x, F.col("coarse")).cast("double") for x in (lows, highs))
-    inside = F.least(F.floor((F.col("doc_id").cast("double") - low) / (high - low) * fine), F.lit(fine - 1))
-    return rows.withColumn("coarse", coarse).withColumn("part", F.col("coarse") * fine + inside)
+    wanted = rows.count() / PART_ROWS
+    out = rows.withColumns({"coarse": F.lit(0), "part": F.lit(0).cast("long")})
+    for level in range(LEVELS):
+        if wanted <= 1:
+            break
+        splits = min(QUANTILES, math.ceil(wanted))
+        marks = [k / splits for k in range(1, splits)]
+        edges = written(out.groupBy(F.col("part").alias("_part")).agg(F.percentile_approx("doc_id", marks, ACCURACY).alias("_edges")), "range-edges")
+        out = out.join(F.broadcast(edges), F.col("part") == F.col("_part"))
+        inside = F.size(F.filter("_edges", lambda edge: edge < F.col("doc_id")))
+        out = out.withColumn("part", F.col("part") * splits + inside).drop("_part", "_edges")
+        if not level:
+            out = out.withColumn("coarse", F.col("part").cast("int"))
+        wanted /= splits
+    return out
 
 
 def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:

@@ -429,6 +429,20 @@ def test_fingerprints_near_values_and_edits(spark):
     assert got["new"] == [hashlib.md5(b"fourth LINE").hexdigest()[:8]] and got["none"] == []
 
 
+def test_next_texts_of_clustered_ids(spark, monkeypatch):
+    """Ranges stay small where ids lie close together and far apart, and every row is followed by the next one."""
+    monkeypatch.setattr(merkle, "PART_ROWS", 4)
+    monkeypatch.setattr(merkle, "QUANTILES", 5)
+    ids = [*range(200), *(10**15 + 7 * k for k in range(100)), -(10**17), 2**62]
+    rows, _ = merkle.next_texts(spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id long, text string").repartition(3))
+    found = rows.collect()
+    own, order = [r for r in found if not r["last"]], sorted(ids)
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    assert {r["doc_id"]: r["next_text"] for r in own} == {k: f"t{after[k]}" for k in ids}
+    sizes = [sum(r["part"] == part for r in own) for part in {r["part"] for r in own}]
+    assert max(sizes) <= 12 and sum(sizes) == len(ids)
+
+
 def test_packing_odd_tables(spark):
     """A last sequence of a power of two, repeated rows, gapless offsets."""
     one = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
