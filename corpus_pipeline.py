@@ -6,7 +6,7 @@ shared folder and gives them, read again, to the next. All but the last return t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popsieve.llm import exact_dedup, langid, minhash, packing, pii
@@ -21,20 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return _without(docs, exact_dedup.exact_groups(docs))
+    """One document of each group of equal texts stays; an id may stand for several texts, so rows go by id and text."""
+    gone = exact_dedup.exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (exact_dedup.text_digest(F.col("text")) == F.col("_digest"))
+    return _without(docs, gone, same)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return _without(docs, minhash.near_groups(docs))
+    gone = minhash.near_groups(docs).where("not kept").select(F.col("doc_id").alias("_id"))
+    return _without(docs, gone, F.col("doc_id") == F.col("_id"))
 
 
-def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """`docs` without the rows whose id isn't kept; the ids that go are broadcast if they are few."""
-    gone = written(groups.where("not kept").select("doc_id"), "gone")
+def _without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """`docs` without the rows that are the same as one of `gone`, which is broadcast if it is small."""
+    gone = written(gone, "gone")
     few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
-    return docs.join(few, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(few, same, "left_anti")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,11 @@ def fold_case(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def text_digest(text: Column) -> Column:
+    """What equal texts share, 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(fold_case(F.coalesce(text, F.lit(""))), 256))
+
+
 def cells(digest: Column, bits: int) -> Column:
     """The cells that a hash sets, in 1..bits for the first, bits+1..2*bits for the second and so on."""
     return F.array(*(F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) + F.lit(k * bits + 1) for k in range(HASHES)))
@@ -80,7 +85,7 @@ def marked(hashes: DataFrame, bits: int) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    hashes = scratch.written(id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2(fold_case(F.col("text")), 256)).alias("digest")), "hashes")
+    hashes = scratch.written(id_and_text(docs, id_col, text_col).select("doc_id", text_digest(F.col("text")).alias("digest")), "hashes")
     tested = kept.written(marked(hashes, filter_bits(hashes.count(), max_bits)), "tested")
     scratch.drop()
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")

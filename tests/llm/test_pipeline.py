@@ -30,3 +30,18 @@ def test_stages_and_run(spark, tmp_path):
         assert r["text"] == (texts[k].replace("a.b@example.org", "[EMAIL]")) and r["n_chars"] == len(r["text"])
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces if p["doc_id"] is not None} == set(left["near"])
+
+
+def test_exact_stage_tells_rows_of_an_id_apart(spark, tmp_path):
+    """Of an id with two texts only the repeated one goes, and so does a repeated text without id; names may clash."""
+    rows = [(5, "same text", "en"), (5, "a text of its own", "en"), (7, "Same text", "en"), (None, "same text", "en"), (None, "no id", None)]
+    docs = spark.createDataFrame([(k, t, lang, "s", 1, 0, 0) for k, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, _id int, _digest int")
+    left = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(5, "a text of its own"), (7, "Same text"), (None, "no id")}
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, class int, part int")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
