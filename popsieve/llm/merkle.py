@@ -115,11 +115,14 @@ def _dealt(rows: DataFrame) -> DataFrame:
         if wanted <= 1:
             break
         splits = min(QUANTILES, math.ceil(wanted))
-        marks = [k / splits for k in range(1, splits)]
-        edges = written(out.groupBy(F.col("part").alias("_part")).agg(F.percentile_approx("doc_id", marks, ACCURACY).alias("_edges")), "range-edges")
-        out = out.join(F.broadcast(edges), F.col("part") == F.col("_part"))
+        quantiles = F.percentile_approx("doc_id", [k / splits for k in range(1, splits)], ACCURACY).alias("_edges")
+        if level:
+            edges = written(out.groupBy(F.col("part").alias("_part")).agg(quantiles), "range-edges")
+            out = out.join(F.broadcast(edges), F.col("part") == F.col("_part")).drop("_part")
+        else:
+            out = out.withColumn("_edges", F.lit(rows.agg(quantiles).first()[0]))
         inside = F.size(F.filter("_edges", lambda edge: edge < F.col("doc_id")))
-        out = out.withColumn("part", F.col("part") * splits + inside).drop("_part", "_edges")
+        out = out.withColumn("part", F.col("part") * splits + inside).drop("_edges")
         if not level:
             out = out.withColumn("coarse", F.col("part").cast("int"))
         wanted /= splits
