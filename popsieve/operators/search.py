@@ -3,7 +3,7 @@
 Queries come from the caller as 0/1 vectors and are few next to the database. A threshold search lists, for each
 query, the on-bit counts that can match (exactly, on the driver). One query becomes literals; many become
 broadcast blocks of (query, bounds of on-bits, words) that every row is held against; queries that are rows
-themselves, as many as there are, meet it by an equi-join on on-bits. The database is scanned once, its partitions pruned by literal on-bits.
+themselves are broadcast likewise if they are few, and meet it by an equi-join on on-bits if not. The database is scanned once, its partitions pruned by literal on-bits.
 """
 
 from __future__ import annotations
@@ -121,6 +121,14 @@ def query_relation(db: Database, queries: Sequence, lower: float, upper: float)
     return out
 
 
+def _hit(db: Database, inter, lower: float, upper: float):
+    """Whether a row and a query beside it (ones_q, first, last, q-words) are within the bounds."""
+    hit = within(inter, F.col("onbits"), F.col("ones_q"), lower, upper)
+    if len(word_names(db.bits)) > FEW_WORDS or lower <= 0:  # a query without bits, too, has no hits
+        hit = F.col("onbits").between(F.col("first"), F.col("last")) & hit
+    return hit
+
+
 def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upper: float = 1.0, return_smiles: bool = False, max_hits_per_chunk: int | None = None) -> DataFrame:
     """chunk_idx, query_idx, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
 
@@ -131,10 +139,7 @@ def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upp
     parts, counts = [], []
     for relation, onbits in query_relation(db, queries, lower, upper):
         inter = intersection(_words("w", db.bits), _words("q", db.bits))
-        hit = within(inter, F.col("onbits"), F.col("ones_q"), lower, upper)
-        if len(word_names(db.bits)) > FEW_WORDS or lower <= 0:  # a query without bits, too, has no hits
-            hit = F.col("onbits").between(F.col("first"), F.col("last")) & hit
-        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(relation), hit).withColumn("inter", inter)
+        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(relation), _hit(db, inter, lower, upper)).withColumn("inter", inter)
         parts.append(_scored(db, rows, ["chunk_idx", "query_idx", "position"], False))
         counts += onbits
     out = parts[0]
@@ -152,18 +157,28 @@ def get_sim_compounds_multi_query(db: Database, queries, lower: float = 0.0, upp
 def get_sim_compounds_of_rows(db: Database, queries: DataFrame, lower: float = 0.0, upper: float = 1.0) -> DataFrame:
     """chunk_idx, query_id, position, inter, denom, score, tanimoto of all (query, row) within the bounds.
 
-    Queries are rows (query_id, words w0, w1 ...), as many as there are: they stay distributed. On-bits alone are few
-    and uneven keys, so each query goes to one of SALTS salts of its counts and each row to all of them where queries are many."""
+    Queries are rows (query_id, words w0, w1 ...), as many as there are. Up to BROADCAST_BYTES of them are broadcast and held
+    against every row as given vectors are, so the database doesn't shuffle. Beyond that both meet by their on-bits, which
+    are few and uneven keys, so each query goes to one of SALTS salts of its counts and each row to all of them where queries are many."""
     names = word_names(db.bits)
-    weights = [(q, a) for q in range(db.bits + 1) for a in range(db.bits + 1) if may_match(a, q, db.bits, lower, upper)]
-    grid = F.broadcast(queries.sparkSession.createDataFrame(weights, "ones_q int, onbits int"))
+    inter = intersection(_words("w", db.bits), _words("q", db.bits))
     side = queries.select("query_id", ones([F.col(n) for n in names]).cast("int").alias("ones_q"), *(F.col(n).alias(q) for n, q in zip(names, word_names(db.bits, "q"), strict=True)))
+    keys = ["chunk_idx", "query_id", "position"]
+    matching = {q: [a for a in range(db.bits + 1) if may_match(a, q, db.bits, lower, upper)] for q in range(db.bits + 1)}
+    most = BROADCAST_BYTES // (8 * len(names) + 48)
+    n, least, greatest = side.limit(max(most, SALTED_QUERIES) + 1).agg(F.count("*"), F.min("ones_q"), F.max("ones_q")).first()
+    if n <= most:
+        limits = side.sparkSession.createDataFrame([(q, found[0], found[-1]) for q, found in matching.items() if found], "ones_q int, first int, last int")
+        onbits = sorted({a for q in range(least or 0, (greatest or 0) + 1) for a in matching[q]})
+        rows = db.fp.where(_onbits_in(onbits)).join(F.broadcast(side.join(F.broadcast(limits), "ones_q")), _hit(db, inter, lower, upper))
+        return _scored(db, rows.withColumn("inter", inter), keys, False)
+    grid = F.broadcast(side.sparkSession.createDataFrame([(q, a) for q, found in matching.items() for a in found], "ones_q int, onbits int"))
     side, fp = side.join(grid, "ones_q"), db.fp
-    if queries.limit(SALTED_QUERIES + 1).count() > SALTED_QUERIES:
+    if n > SALTED_QUERIES:
         side = side.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
         fp = fp.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = fp.join(side, [c for c in ("onbits", "_salt") if c in side.columns]).withColumn("inter", intersection(_words("w", db.bits), _words("q", db.bits)))
-    return _scored(db, rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), ["chunk_idx", "query_id", "position"], False)
+    rows = fp.join(side, [c for c in ("onbits", "_salt") if c in side.columns]).withColumn("inter", inter)
+    return _scored(db, rows.where(within(F.col("inter"), F.col("onbits"), F.col("ones_q"), lower, upper)), keys, False)
 
 
 def bit_list(bits: int, prefix: str = "w"):

@@ -141,13 +141,17 @@ def test_half_scores():
     assert similarity.half_score([1, 0], [3, 0]).tolist() == [np.float16(1 / 3), 1.0]
 
 
-def test_queries_as_rows(spark):
-    """Every 50th row as a query, distributed, gives the hits of the search by vectors."""
+@pytest.mark.parametrize(("most", "salted"), [(16 << 20, 100_000), (0, 100_000), (0, 3)])
+def test_queries_as_rows(spark, monkeypatch, most, salted):
+    """Every 50th row as a query, broadcast, joined or salted, gives the hits of the search by vectors."""
+    monkeypatch.setattr(search, "SALTED_QUERIES", salted)
     rows = standins.basket(spark, "/root/testdata/sf0.001").cache()
     db = standins.Database.build(rows, 128)
     wanted = sorted(r["line_no"] for r in rows.where("line_no % 50 = 0").select("line_no").collect())
-    found = search.get_sim_compounds_of_rows(db, rows.where("line_no % 50 = 0").withColumnRenamed("line_no", "query_id"), 0.2)
     plain = search.get_sim_compounds_multi_query(db, standins.vectors(rows, 128, wanted), 0.2)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", most)
+    found = search.get_sim_compounds_of_rows(db, rows.where("line_no % 50 = 0").withColumnRenamed("line_no", "query_id"), 0.2)
+    assert ("BroadcastNestedLoopJoin" in found._jdf.queryExecution().toString()) == (most > 0)
     names = ["chunk_idx", "position", "inter", "denom", "score"]
     got = sorted(tuple(r) for r in found.select("query_id", *names).collect())
     assert got and got == sorted((wanted[r[0]], *r[1:]) for r in plain.select("query_idx", *names).collect())
