@@ -6,10 +6,11 @@ truncated minimum. Sketches merge by taking greater registers, and equal registe
 
 1. One pass over the texts writes sketch, set size and set digest of every document.
 2. Documents with equal sets are one class, whatever their number; only classes go on.
-3. Bands of ROWS registers are hashed. In every bucket the least class is the hub, and each other class is
-   paired with it: as many pairs as members, however large the bucket. Where the other members lie in
-   several components after that, those in different ones are compared and verified in blocks, which give only
-   links that join components; a large bucket gets further hubs from its outlying components first, round by
+3. Bands of ROWS registers are hashed. In every bucket the class with the most company in all its buckets is the hub, and
+   each other class is paired with it: as many pairs as members at most, however large the bucket. The classes that are paired
+   with a hub in any band are its star, so a group of copies is one star or a few, not a bucket in every band. Where a star's
+   classes lie in several components after that, those of different ones that share a bucket are compared and verified in blocks, which
+   give only links that join components; a large star gets further hubs from its outlying components first, round by
    round. So every two classes that share a bucket end up compared, or in one component already.
 4. Pairs are dropped only if the joint likelihood of their registers, given the set sizes, is far better
    (MARGIN in log) at some lower similarity than at the threshold; the rest are verified on full sets.
@@ -20,7 +21,7 @@ wordless texts have no set and link with nothing. Rows that share an id are one
 any of their texts links with; each row keeps its own set size. A null id links with nothing. An empty table gives
 no rows; other columns are not read. Texts of any length are read whole, in stretches; a set is held in
 one task (8 bytes a shingle). A hub's members are verified in salted groups of about GROUP, its text going to each.
-Joins by set or bucket send no hot one to a single task. The work on a bucket that stays open after HUB_ROUNDS
+Joins by set, bucket or star send no hot one to a single task. The work on a star that stays open after HUB_ROUNDS
 grows with the square of its classes, in blocks that are tasks of their own.
 """
 
@@ -31,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, given_back, id_and_text, map_arrow, map_texts
@@ -45,8 +46,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 THRESHOLD = 80  # per cent
 MARGIN = 12.5
 GROUP = 64
-#: Classes, and shingles, of one bucket that make a block; buckets over LARGE get further hubs before that.
-BLOCK, BLOCK_SHINGLES, LARGE, HUB_ROUNDS = 1024, 2_000_000, 8192, 6
+#: Classes, and shingles, of one star that make a block; stars over LARGE get further hubs before that.
+BLOCK, BLOCK_SHINGLES, LARGE, HUB_ROUNDS = 512, 2_000_000, 8192, 6
 #: Pairs of classes that a task compares by sketch (about), and tasks of a stage at most.
 TASK_PAIRS, MOST_TASKS = 250_000, 20_000
 #: Ids broadcast at most (8 bytes each, or 40 with a digest); beyond, the join shuffles.
@@ -124,6 +125,23 @@ def banded(sketches: DataFrame) -> DataFrame:
     return sketches.select(F.col("class"), F.explode(F.array(*keys)).alias("_")).select("_.band", "_.key", "class")
 
 
+def hubbed(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, class): the members of buckets of several, but for the hub, which is the member whose buckets of all
+    bands are largest together: copies resemble what they were made from more than each other, so one hub tends to join all."""
+    keys = ["band", "key"]
+    sizes = scratch.written(bands.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("n", F.col("_n")), "bucket-sizes")
+    near = F.sum("n").over(Window.partitionBy("class"))  # a row a band at most
+    members = scratch.written(given_back(bands, sizes, keys, scratch).select(*keys, "class", "n", near.alias("near")), "members")
+    hubs = members.groupBy(*keys).agg(F.max_by("class", F.struct("near", -F.col("class"))).alias("hub"), F.max("n").alias("_n"))
+    return given_back(members.select(*keys, "class"), scratch.written(hubs, "hubs"), keys, scratch).select("hub", "class").where("class != hub")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(low, high, hub, class): each two of a hub and a class once, whichever is the hub."""
+    pairs = rows.groupBy(F.least("hub", "class").alias("low"), F.greatest("hub", "class").alias("high")).agg(F.min("hub").alias("hub"))
+    return pairs.withColumn("class", F.when(F.col("hub") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+
+
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (hub, class) whose sketches leave the threshold open."""
     side = sketches.select("class", "n_shingles", "sketch")
@@ -195,13 +213,13 @@ def verified(pairs: DataFrame, fetch, scratch: Scratch, words: int = WORDS, thre
     return map_arrow(rows, run, "a long, b long")
 
 
-def _open_buckets(shared: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of buckets (band, key, class, component, n, hub) that lie in several components; the hub is in an
+def _open_stars(stars: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of stars (star, class, component, n, hub, hub_component) that lie in several components; the hub is in an
     outlying one (the main one tends to have the least label)."""
-    rows = scratch.written(shared.join(joined, shared["class"] == joined["node"], "left").select("band", "key", "class", F.coalesce("component", "class").alias("component")), "bucket-components")
-    several = rows.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("hub_component"), F.count("*").alias("_n"), F.max_by("class", "component").alias("hub")).where("_low != hub_component")
+    rows = scratch.written(stars.join(joined, stars["class"] == joined["node"], "left").select("star", "class", F.coalesce("component", "class").alias("component")), "star-components")
+    several = rows.groupBy("star").agg(F.min("component").alias("_low"), F.max("component").alias("hub_component"), F.count("*").alias("_n"), F.max_by("class", "component").alias("hub")).where("_low != hub_component")
     several = scratch.written(several.drop("_low").withColumn("n", F.col("_n")), "several")
-    return scratch.written(given_back(rows, several, ["band", "key"], scratch), "open")
+    return scratch.written(given_back(rows, several, ["star"], scratch), "open")
 
 
 def _sketch_matrix(table: pa.Table) -> np.ndarray:
@@ -210,8 +228,8 @@ def _sketch_matrix(table: pa.Table) -> np.ndarray:
 
 def _partners(table: pa.Table):
     """A function k, comps, some -> rows of this block to compare with row k: among some (a mask), in another component,
-    first sharing a bucket in this band, and likely by their sketches. It reads the components anew each time."""
-    band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    sharing a bucket, and likely by their sketches. It reads the components anew each time."""
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     sketch = _sketch_matrix(table)
     classes, owns, sizes = (table.column(c).to_numpy() for c in ("class", "own", "n_shingles"))
 
@@ -219,8 +237,7 @@ def _partners(table: pa.Table):
         others = np.flatnonzero(some & (comps != comps[k]) & ((classes > classes[k]) if same else (owns > owns[k])))
         if not len(others):
             return others
-        equal = (sketch[others] == sketch[k]).reshape(-1, BANDS, ROWS).all(2)
-        others = others[equal.argmax(1) == band]  # each pair in the first band that it shares
+        others = others[(sketch[others] == sketch[k]).reshape(-1, BANDS, ROWS).all(2).any(1)]
         a, b = sketch[k], sketch[others]
         return others[plausible((a > b).sum(1), (a < b).sum(1), np.full(len(others), sizes[k]), sizes[others])]
 
@@ -228,23 +245,23 @@ def _partners(table: pa.Table):
 
 
 def block_links(rows: DataFrame, sketches: DataFrame, fetch, scratch: Scratch, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) that join the components of the classes of each open bucket, compared in blocks.
+    """Links (a, b) that join the components of the classes of each open star, compared in blocks.
 
-    A bucket falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once. A task
+    A star falls into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; each two blocks meet once. A task
     gets about TASK_PAIRS pairs; as rows are few, adaptive execution would else run all in a handful of tasks. A first pass on sketches
     keeps the classes that have someone to be compared with; only their texts are dealt. The second verifies full
     sets where they meet and gives the links that join components, never a block's pairs.
     """
-    rows = scratch.written(rows.select("band", "key", "class", "component").join(sketches.select("class", "n_shingles"), "class"), "block-rows")
-    weights = rows.groupBy("band", "key").agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = scratch.written(rows.select("star", "class", "component").join(sketches.select("class", "n_shingles"), "class"), "block-rows")
+    weights = rows.groupBy("star").agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     weights = scratch.written(weights, "block-weights")
     pairs = weights.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0
     tasks = int(min(MOST_TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS)))
-    blocks = given_back(rows, weights, ["band", "key"], scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = blocks.select("band", "key", "class", "component", "n_shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
+    blocks = given_back(rows, weights, ["star"], scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = blocks.select("star", "class", "component", "n_shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
     dealt = dealt.join(sketches.select("class", "sketch"), "class")
-    dealt = dealt.select("band", "key", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "class", "component", "n_shingles", "sketch")
-    meeting = ["band", "key", "i", "j"]
+    dealt = dealt.select("star", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "class", "component", "n_shingles", "sketch")
+    meeting = ["star", "i", "j"]
 
     def busy(table: pa.Table) -> pa.Table:
         comps, of = table.column("component").to_numpy(), _partners(table)
@@ -297,10 +314,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def checked(pairs: DataFrame) -> DataFrame:
         return scratch.written(verified(scratch.written(likely(pairs, classes), "likely-pairs"), fetch, scratch, words), "links")
 
-    bands = banded(classes)
-    buckets = bands.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("_n")).where("_n > 1")
-    shared = scratch.written(given_back(bands, scratch.written(buckets, "hubs"), ["band", "key"], scratch).where("class != hub"), "buckets")
-    tried = scratch.written(shared.select("hub", "class").distinct(), "pairs")
+    stars = scratch.written(hubbed(banded(classes), scratch).select(F.col("hub").alias("star"), "class").distinct(), "stars")
+    tried = scratch.written(_once(stars.withColumnRenamed("star", "hub")), "pairs")
     links = checked(tried)
     if mixed_ids:
         own = with_set.join(_few(mixed), "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
@@ -308,16 +323,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.union(scratch.written(own.join(first, "doc_id").where("class != b").select(F.col("class").alias("a"), "b"), "links"))
     joined = components(links, scratch)
 
-    open_ = _open_buckets(shared.select("band", "key", "class"), joined, scratch)
+    open_ = _open_stars(stars, joined, scratch)
     for _ in range(HUB_ROUNDS):
         if not open_.where(F.col("n") > LARGE).limit(1).count():
             break
-        pairs = open_.where("component != hub_component").select(F.least("hub", "class").alias("hub"), F.greatest("hub", "class").alias("class")).distinct().join(tried, ["hub", "class"], "left_anti")
-        pairs = scratch.written(pairs, "pairs")
-        tried = tried.union(pairs)
+        pairs = scratch.written(_once(open_.where("component != hub_component")).join(tried, ["low", "high"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
         links = links.union(checked(pairs))
         joined = components(links, scratch)
-        open_ = _open_buckets(open_.where("class != hub").select("band", "key", "class"), joined, scratch)
+        open_ = _open_stars(open_.where("class != hub").select("star", "class"), joined, scratch)
     if open_.limit(1).count():
         found = scratch.written(block_links(open_, classes, fetch, scratch, words), "links")
         if found.limit(1).count():

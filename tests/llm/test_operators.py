@@ -475,3 +475,33 @@ def test_pii_counts_of_plain_words(spark):
     wanted = spark.createDataFrame([("my number is",)], "c string").select(F.xxhash64(F.lit("left"), F.lit("is")).alias("label"))
     docs = spark.createDataFrame([(t or "",) for t in texts], "_text string")
     assert pii.plain(docs, wanted).first()["words"] == 2
+
+
+def test_near_copies_of_one_text_are_compared_once_not_in_every_band(spark, monkeypatch):
+    """Copies and texts short of the threshold share buckets with one text in all bands: rows dealt follow the texts, not the bands."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for n in [5] * 60 + [0] + [7] * 40:  # words replaced, each of them in four shingles
+        words = list(base)
+        for at in rng.choice(np.arange(0, 196, 5), n, replace=False):
+            words[at + 2] = f"x{rng.integers(10**9)}"
+        texts.append(words)
+    sets = [{tuple(t[k : k + 4]) for k in range(197)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    dealt, plain = [], minhash.Scratch.written
+
+    def counted(self, df, name):
+        out = plain(self, df, name)
+        if name == "block-rows":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "written", counted)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {k: r["component_id"] for k, r in by_id(minhash.near_groups(docs, words=4)).items()} == dict(enumerate(label))
+    assert len(set(label)) > 30 and sum(dealt) < 8 * len(texts)
